@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import bpe_automaton
-from .common import small_batches
+from .common import small_batches, with_fields
 
 #: The pre-split pattern of the word-level tokenizer (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -97,6 +97,7 @@ def encode_texts(df: DataFrame, column: str = "text", path: str | None = None) -
     path = path or word_bpe()
     small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("ids", "decoded")]
+    kept_columns = [f"`{c}`" for c in kept]
 
     def run(it):
         own = codec(path)
@@ -106,8 +107,8 @@ def encode_texts(df: DataFrame, column: str = "text", path: str | None = None) -
             arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "ids", "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(kept).schema)
-    return df.select(kept).mapInArrow(run, f"{schema}, ids array<int>, decoded string")
+    fields = with_fields(df.select(kept_columns).schema, "ids array<int>, decoded string")
+    return df.select(kept_columns).mapInArrow(run, fields)
 
 
 def text_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch that goes to Python. Texts are long, so Spark's default of 10,000 rows would be too much.
 BATCH_ROWS = 512
@@ -64,9 +64,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def batches(rows: Iterator[dict[str, list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for columns in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def with_fields(schema: StructType, more: str) -> StructType:
+    """A schema with further fields, given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
 
 
 # ---- hashes over bytes -------------------------------------------------------------------------------------------

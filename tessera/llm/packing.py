@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import small_batches, stored
+from .common import small_batches, stored, with_fields
 
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -158,8 +157,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFr
             columns = [*(b.column(c) for c in names), pa.array(bins, pa.int64()), pa.array(at, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, with_fields(pieces.schema, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
