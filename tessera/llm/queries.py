@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, quality
+from . import bpe, chat, hnsw, language, matroska, packing, quality
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -14,6 +14,15 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_media(matroska.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,4 +35,16 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.text_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op5_best_fit_packing, op6_quality_ftrl, op8_bpe_automaton)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_mixture, op2_matroska, op3_hnsw, op5_best_fit_packing, op6_quality_ftrl, op8_bpe_automaton, op10_chat_formatting,
+    )
+}
