@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hnsw, language, matroska, packing, quality
+from . import bpe, chat, hnsw, jaccard, language, matroska, packing, quality
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,10 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.text_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -45,6 +49,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_mixture, op2_matroska, op3_hnsw, op5_best_fit_packing, op6_quality_ftrl, op8_bpe_automaton, op10_chat_formatting,
+        op1_language_mixture, op2_matroska, op3_hnsw, op5_best_fit_packing, op6_quality_ftrl, op8_bpe_automaton, op9_ngram_jaccard,
+        op10_chat_formatting,
     )
 }
