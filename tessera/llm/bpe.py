@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pyarrow as pa
 import regex
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame
 from . import bpe_automaton
 from .common import small_batches, with_fields
 
-#: The pre-split pattern of the word-level tokenizer (fixed value).
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The word-level tokenizer's pre-split pattern (fixed value) with its classes spelled out for lower-case usual characters.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+WORDS = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^\t\n\r {_LETTERS}{_NUMBERS}]+")
 #: Any character beyond those that all normalisers and pattern engines treat alike.
 UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
 
@@ -71,12 +73,15 @@ class Codec:
         words, known = WORDS.findall(text.lower()), self.known
         if len(known) > 300_000:
             known.clear()
-        for w in {w for w in words if w not in known}:
-            ids = self.automaton.encode_word(w.encode())
-            known[w] = " ".join(map(str, ids)), self.decode(ids), len(ids)
+        found = list(map(known.get, words))
+        if None in found:
+            for w in {w for w, x in zip(words, found) if x is None}:
+                ids = self.automaton.encode_word(w.encode())
+                known[w] = " ".join(map(str, ids)), self.decode(ids), len(ids)
+            found = list(map(known.__getitem__, words))
         if not words:
             return 0, "", ""
-        ids, labels, n = zip(*map(known.__getitem__, words))
+        ids, labels, n = zip(*found)
         return sum(n), " ".join(ids), " ".join(labels)
 
 

@@ -121,7 +121,7 @@ class Automaton:
         while j:
             out.append(token[j])
             j = back[j]
-        if len(self.words) > 300_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         found = self.words[word] = tuple(reversed(out))
         return found

@@ -131,26 +131,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFr
     """Add sequence_id and offset to pieces (columns doc_id, piece, length).
 
     Ranks are counted within (length, salt) and shifted by the counts of the salts before, so that a length which many
-    pieces have is ranked by many tasks. The plan has some segments for each length and is the only thing that is sent
-    to the executors. An empty table gives an empty one.
+    pieces have is ranked by many tasks. Only capacity * salts counts come to the driver, and only they and the plan,
+    which has some segments for each length, go to the executors. An empty table gives an empty one.
     """
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
-    segments = plan_bins({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}, capacity)
+    counts = np.zeros((capacity + 1, salts), np.int64)
+    for n, salt, count in salted.groupBy("length", "_salt").count().collect():
+        if not 0 < n <= capacity:
+            raise ValueError(f"piece lengths must be between 1 and {capacity}")
+        counts[n, salt] = count
+    before = np.cumsum(counts, 1) - counts
+    segments = plan_bins({n: int(c) for n, c in enumerate(counts.sum(1)) if c}, capacity)
     bound = 64 * capacity
     if len(segments) > bound:
         raise ValueError(f"the plan has {len(segments)} segments, more than {bound}")
     length, rank, _, first, each, offset = segments.T
     key = (length << 44) | rank
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("_own", own).join(before.drop("_n"), ["length", "_salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long").alias("_rank"))
+    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long")
+    ranked = salted.withColumn("_rank", own - 1)
     names = pieces.columns
 
     def place(it):
         for b in it:
             n, r = b.column("length").to_numpy(), b.column("_rank").to_numpy()
+            r = r + before[n, b.column("_salt").to_numpy()]
             s = np.searchsorted(key, (n << 44) | r, "right") - 1
             k = r - rank[s]
             bins, at = first[s] + k // each[s], offset[s] + (k % each[s]) * n

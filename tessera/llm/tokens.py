@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-from itertools import filterfalse
+import re
 
 import numpy as np
-import regex
 
 
 class WordCachedEncoder:
@@ -18,11 +17,13 @@ class WordCachedEncoder:
     """
 
     #: Characters that every pattern engine classifies alike.
-    PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
-    #: The pre-split pattern of the byte-level tokenizer (fixed value).
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
+    CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+    #: The byte-level tokenizer's pre-split pattern (fixed value) with its classes spelled out for PLAIN characters.
+    LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t\n\r "
+    WORDS = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,23 +35,39 @@ class WordCachedEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.PLAIN.search(t) or any(s in t for s in self.special)]
+        whole = [i for i, t in enumerate(texts) if (not t.isascii() or self.CONTROL.search(t)) and self.PLAIN.search(t) or any(s in t for s in self.special)]
         for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4").tobytes()
         if len(self.cache) > self.limit:
             self.cache.clear()
-        split, new = {}, set()
+        split, new, get = {}, set(), self.cache.get
         for i, t in enumerate(texts):
             if out[i] is None:
-                split[i] = self.WORDS.findall(t)
-                new.update(filterfalse(self.cache.__contains__, split[i]))
-        for words in (new_words[k : k + 20_000] for new_words in [list(new)] for k in range(0, len(new_words), 20_000)):
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+                words = self.WORDS.findall(t)
+                ids = list(map(get, words))
+                try:
+                    out[i] = b"".join(ids)
+                except TypeError:  # some are None
+                    split[i] = words
+                    new.update([w for w, x in zip(words, ids) if x is None])
+        self._learn(list(new))
         for i, words in split.items():
             out[i] = b"".join(map(self.cache.__getitem__, words))
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words. Those of a blank and letters go in long runs, which the library splits at the blanks."""
+        runs = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        for k in range(0, len(runs), 1000):
+            part = runs[k : k + 1000]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            cut = [0, *(np.flatnonzero(np.diff(e.word_ids)) + 1).tolist(), len(e.ids)]
+            self.cache.update(zip(part, (ids[4 * a : 4 * b] for a, b in zip(cut, cut[1:])), strict=True))
+        rest = [w for w in new if w not in self.cache]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+
 
 _encoders: dict[str, WordCachedEncoder] = {}
 

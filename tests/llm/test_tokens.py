@@ -21,14 +21,14 @@ def rows(spark, texts):
 
 def test_word_cache_equals_library():
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    texts = [t or "" for t in ODD] + ["".join(random.Random(i).choices(" \n\tabC1é'.,s!", k=60)) for i in range(500)]
+    texts = [t or "" for t in ODD] + ["".join(random.Random(i).choices(" \n\tabC1é'.,s!", k=60)) for i in range(1500)]
     for text, ids in zip(texts, tokens.WordCachedEncoder(tokens.byte_bpe(), limit=50).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_automaton_equals_library(spark):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    texts = ODD + ["".join(random.Random(i).choices(" \n\tabC1é'.,s!", k=60)) for i in range(300)]
+    texts = ODD + ["".join(random.Random(i).choices(" \n\tabC1é'.,s!", k=60)) for i in range(1000)]
     got = {r.doc_id: r for r in bpe.text_digests(rows(spark, texts)).collect()}
     whole = {r.doc_id: r for r in bpe.encode_texts(rows(spark, texts)).collect()}
     assert whole[0].extra == 1 and len(got) == len(texts)
