@@ -143,8 +143,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles and their rows; a row with fewer words has one shingle of them all."""
+def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Hashes of the k-word shingles, their rows, and the least level of the words of each (levels: one for each word).
+
+    A row with fewer words has one shingle of them all.
+    """
     n = np.bincount(row, minlength=n_rows)
     begin = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
     count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
@@ -152,8 +155,12 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> t
     at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     left = np.minimum(k, n[of] - (at - begin[of]))
     h = np.full(len(of), 0x51ED270B, np.uint64)
+    least = None if levels is None else levels[at]
     for i in range(k):
         has = left > i
-        part = words[np.minimum(at + i, max(len(words) - 1, 0))] if len(words) else h
+        word = np.minimum(at + i, max(len(words) - 1, 0))
+        part = words[word] if len(words) else h
         h = np.where(has, mix(h * _STEP + part), h)
-    return h, of
+        if i and least is not None:
+            least = np.where(has, np.minimum(least, levels[word]), least)
+    return h, of, least

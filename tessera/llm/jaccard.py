@@ -4,8 +4,8 @@ Words are runs of characters outside ASCII white space, with A-Z in lower case;
 of its shingles. Documents with equal sets are one class, represented by its smallest doc_id.
 
 1. Two sets whose Jaccard similarity reaches the threshold share one of the first tokens of each (prefix filter, under
-   any one order of all tokens). The order here puts tokens that many documents hold last, as a count sketch of fixed
-   size over all documents tells, so that common passages seldom bring documents together.
+   any one order of all tokens). The order here puts shingles without a rare word last, as a count sketch of fixed size
+   over all words of all documents tells, so that common phrases and passages seldom bring documents together.
 2. All classes with a prefix token meet under the token's smallest class, its leader. Every linked pair is in a leader's
    group, and a class is in few groups. A group of more than BLOCK classes is split into blocks that all hold the leader.
 3. A block's task builds a signature tree: classes ordered by size and least token, nodes with OR-combined token bitmaps,
@@ -18,13 +18,14 @@ of its shingles. Documents with equal sets are one class, represented by its sma
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, drop_stored, shingle_hashes, small_batches, span_hashes, stored, utf8, word_spans
+from .common import ASCII_SPACE, LOWER, shingle_hashes, small_batches, span_hashes, stored, utf8, word_spans
 from .components import connected
 
 BLOCK = 1024
@@ -34,12 +35,18 @@ BITMAP_BYTES = 256
 FAN = 8
 
 
-def sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the row of every word."""
     data, off = utf8(column)
     data = LOWER[data]
     start, end, row = word_spans(data, off, ASCII_SPACE)
-    h, of = shingle_hashes(span_hashes(data, start, end), row, len(column), k)
+    return span_hashes(data, start, end), row
+
+
+def sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    word, row = words_of(column)
+    h, of, _ = shingle_hashes(word, row, len(column), k)
     cut = np.searchsorted(of, np.arange(len(column) + 1))
     return [np.unique(h[a:b]) for a, b in zip(cut, cut[1:])]
 
@@ -49,15 +56,15 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """For each of 2**SKETCH_BITS token buckets, a level: 0 for usual counts, then one more for each doubling."""
+def sketch(docs: DataFrame) -> np.ndarray:
+    """For each of 2**SKETCH_BITS word buckets, twice the logarithm of how often its words are in all texts."""
     size = 1 << SKETCH_BITS
 
     def count(it):
         total = np.zeros(size, np.uint32)
         for batch in it:
-            for s in sets_of(batch.column(0), k):
-                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            word, _ = words_of(batch.column(0))
+            total += np.bincount((word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SKETCH_PARTS)], pa.binary())], names=["part", "counts"])
 
@@ -68,53 +75,82 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    total = np.zeros(size)
+    total = np.ones(size)
     for part, counts in rows:
         total[part * size // SKETCH_PARTS : (part + 1) * size // SKETCH_PARTS] = np.frombuffer(counts, np.uint64)
-    usual = 4 * total.mean() + 8
-    return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / usual))).astype(np.uint8)
+    return (2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, digest (two longs) and prefix tokens of every document."""
-    levels = sketch(docs, k)
+    """doc_id, n, digest (two longs) and prefix tokens, in order, of every document.
+
+    The order of all tokens is by the least level of a shingle's words, then by hash.
+    """
+    levels = sketch(docs)
 
     def run(it):
         for batch in it:
-            found = sets_of(batch.column(1), k)
-            digests, prefixes = [], []
-            for s in found:
+            word, row = words_of(batch.column(1))
+            h, of, level = shingle_hashes(word, row, batch.num_rows, k, levels[(word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+            cut = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            digests, prefixes, sizes = [], [], []
+            for a, b in zip(cut, cut[1:]):
+                s, at = np.unique(h[a:b], return_index=True)
+                sizes.append(len(s))
                 digests.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                key = (levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                key = (level[a:b][at].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 take = prefix_length(len(s), num, den)
-                prefixes.append(s[np.argpartition(key, take - 1)[:take]].view(np.int64) if 0 < take < len(s) else s.view(np.int64))
+                first = np.argpartition(key, take - 1)[:take] if 0 < take < len(s) else np.arange(len(s))
+                prefixes.append(s[first[np.argsort(key[first])]].view(np.int64))
             d = np.array(digests, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "prefix"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "prefix"]
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
-def leaders(reps: DataFrame) -> DataFrame:
-    """Distinct (leader, rep): for every prefix token of at least two classes, its classes under the smallest."""
-    postings = reps.select("doc_id", F.explode("prefix").alias("token")).repartition("token")
+def leaders(postings: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
+    """Distinct (leader, rep) of postings (id, token, n, at): for every token of at least two ids, its ids under the
+    least of them.
+
+    n is the size of the id's set and at the token's place in its order. A token that is the first one that two sets
+    share leaves at most n - at elements to share in each; so ids of a token are dealt to separate leaders where sizes
+    leap by more than the threshold allows, and ids that can't reach it with any other id of a small group are left out.
+    With num = 0 sizes and places don't matter.
+    """
+    dealt = postings.select("id", "token", "n", "at").repartition("token")
 
     def run(it):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it if b.num_rows]
+        parts = [[c.to_numpy() for c in b.columns] for b in it if b.num_rows]
         if not parts:
             return
-        rep, token = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((rep, token))
-        rep, token = rep[order], token[order]
-        first = np.concatenate([[True], token[1:] != token[:-1]])
+        rep, token, n, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((rep, n, token))
+        rep, token, n, at = rep[order], token[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        first = np.concatenate([[True], (token[1:] != token[:-1]) | (den * n[:-1] < num * n[1:])])
         group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1
-        pairs = np.unique(np.stack([rep[first][group][many], rep[many]], 1), axis=0)
+        size = np.bincount(group)[group]
+        useful = size > near
+        for d in range(1, near):  # in groups of up to ``near`` ids all pairs are looked at
+            i = np.flatnonzero((group[d:] == group[:-d]) & (size[d:] <= near))
+            j = i + d
+            most = np.minimum(n[i] - at[i], n[j] - at[j])
+            ok = (den + num) * most >= num * (n[i] + n[j])
+            useful[i[ok]] = useful[j[ok]] = True
+        rep, group = rep[useful], group[useful]
+        _, group = np.unique(group, return_inverse=True)
+        least = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, rep)
+        many = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        pairs = np.unique(np.stack([least[group][many], rep[many]], 1), axis=0)
+        single = np.bincount(np.unique(pairs[:, 0], return_inverse=True)[1])  # a leader alone with itself
+        pairs = pairs[np.repeat(single, single) > 1]
         for a in range(0, len(pairs), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 10_000, 0]), pa.array(pairs[a : a + 10_000, 1])], names=["leader", "rep"])
 
-    return postings.mapInArrow(run, "leader long, rep long").distinct()
+    near = 16
+    return dealt.mapInArrow(run, "leader long, rep long").distinct()
 
 
 class Forest:
@@ -219,43 +255,86 @@ class SignatureTree:
                 self._descend(level - 1, cx[ok], cy[ok], num, den, forest, verify)
 
 
-def block_links(docs: DataFrame, places: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) found in blocks. places: rep, comp, places (array of leader, block)."""
-    joined = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(places, "rep")
+def link_blocks(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarray]], num: int, den: int) -> DataFrame:
+    """Links (a, b) found in blocks. members: leader, block, rep, comp, payload; to_sets makes sets of payloads."""
 
-    def expand(it):
-        for batch in it:
-            found = sets_of(batch.column(1), k)
-            rows = [(p["leader"], p["block"], rep, comp, s) for rep, s, comp, ps in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), batch.column(3).to_pylist()) for p in ps]
-            for a in range(0, len(rows), 256):
-                part = list(zip(*rows[a : a + 256]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in part[:4]), pa.array([s.tobytes() for s in part[4]], pa.binary())], names=["leader", "block", "rep", "comp", "tokens"])
+    def found_in(rows: dict[int, tuple[int, object]]) -> list[tuple[int, int]]:
+        ids = sorted(rows)
+        sets = to_sets([rows[i][1] for i in ids])
+        some = [k for k, x in enumerate(sets) if len(x)]
+        comp = np.array([rows[ids[k]][0] for k in some])
+        if len(some) > FAN:
+            links = SignatureTree([sets[k] for k in some]).links(num, den, comp)
+        else:
+            links = few_links([sets[k] for k in some], num, den, comp)
+        return [(ids[some[a]], ids[some[b]]) for a, b in links]
 
     def traverse(it):
         key, rows = None, {}
 
-        def links():
-            if len(rows) > 1:
-                ids = sorted(rows)
-                tree = SignatureTree([rows[i][1] for i in ids])
-                for a, b in tree.links(num, den, np.array([rows[i][0] for i in ids])):
-                    out.append((ids[a], ids[b]))
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
         for batch in it:
             out: list[tuple[int, int]] = []
-            for leader, block, rep, comp, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for leader, block, rep, comp, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if (leader, block) != key:
-                    links()
+                    out += found_in(rows) if len(rows) > 1 else []
                     key, rows = (leader, block), {}
-                rows[rep] = comp, np.frombuffer(tokens, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        out = []
-        links()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-    expanded = joined.select("rep", "text", "comp", "places").mapInArrow(expand, "leader long, block long, rep long, comp long, tokens binary")
-    dealt = expanded.repartition("leader", "block").sortWithinPartitions("leader", "block")
-    return dealt.mapInArrow(traverse, "a long, b long").distinct()
+                rows[rep] = comp, payload
+            yield table(out)
+        yield table(found_in(rows) if len(rows) > 1 else [])
+
+    dealt = members.select("leader", "block", "rep", "comp", "payload").repartition("leader", "block")
+    return dealt.sortWithinPartitions("leader", "block").mapInArrow(traverse, "a long, b long").distinct()
+
+
+def few_links(sets: list[np.ndarray], num: int, den: int, comp: np.ndarray) -> list[tuple[int, int]]:
+    """As SignatureTree.links, for as few sets as one node holds."""
+    root, out = comp.tolist(), []
+    for j in range(1, len(sets)):
+        for i in range(j):
+            if root[i] != root[j]:
+                n, m = len(sets[i]), len(sets[j])
+                if den * min(n, m) < num * max(n, m):
+                    continue
+                both = n + m - len(np.unique(np.concatenate([sets[i], sets[j]])))
+                if den * both >= num * (n + m - both):
+                    out.append((i, j))
+                    old = root[j]
+                    root = [root[i] if x == old else x for x in root]
+    return out
+
+
+def link_groups(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], to_sets: Callable, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Components (id, component) of all links inside the groups of pairs (leader, rep).
+
+    ``members`` turns places (rep, comp, places: array of leader and block) into members for link_blocks.
+    """
+    sizes = stored(pairs.groupBy("leader").agg(F.ceil(F.count("*") / float(block)).cast("long").alias("blocks")), "groups")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    gather = F.collect_list(F.struct("leader", "block")).alias("places")
+    sized = pairs.join(sizes, "leader")
+    placed = sized.select("rep", "leader", F.explode(F.when(F.col("rep") == F.col("leader"), upto("blocks")).otherwise(F.array(own))).alias("block"))
+    first = placed.groupBy("rep").agg(gather).select("rep", F.col("rep").alias("comp"), "places")
+    links = stored(link_blocks(members(first), to_sets, num, den), "links")
+    found = stored(connected(links), "components")
+    if not sizes.where("blocks > 1").limit(1).count():
+        return found
+    comp = found.select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    split = sized.where("blocks > 1").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    head = split.where("rep = leader").select("leader", F.col("comp").alias("head"))
+    split = stored(split.join(head, "leader").withColumn("out", F.col("comp") != F.col("head")), "split")
+    apart = split.where("out").groupBy("leader").agg(F.ceil(F.count("*") / float(block)).cast("long").alias("chunks"))
+    late = split.join(apart, "leader").withColumn("own", own).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")))
+    one = late.select("rep", "comp", "leader", "chunks", "own", F.explode(upto("chunks")).alias("c")).select("rep", "comp", "leader", (F.col("own") * F.col("chunks") + F.col("c")).alias("block"))
+    two = late.where("out").select("rep", "comp", "leader", "chunks", "chunk", F.explode(upto("blocks")).alias("o")).select("rep", "comp", "leader", (F.col("o") * F.col("chunks") + F.col("chunk")).alias("block"))
+    again = one.unionByName(two).distinct().groupBy("rep", "comp").agg(gather)
+    more = stored(link_blocks(members(again), to_sets, num, den), "links")
+    if more.limit(1).count():
+        found = stored(connected(links.unionByName(more)), "components")
+    return found
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
@@ -270,29 +349,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int
     some = rows.where("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    pairs = stored(leaders(reps), "pairs")
-    sizes = stored(pairs.groupBy("leader").agg(F.ceil(F.count("*") / float(block)).cast("long").alias("blocks")), "groups")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    sized = pairs.join(sizes, "leader")
-    placed = sized.select("rep", "leader", F.explode(F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
-    gather = F.collect_list(F.struct("leader", "block")).alias("places")
-    links = stored(block_links(docs, placed.groupBy("rep").agg(gather).select("rep", F.col("rep").alias("comp"), "places"), k, num, den), "links")
-    found = stored(connected(links), "components")
-    if sizes.where("blocks > 1").limit(1).count():
-        comp = found.select(F.col("id").alias("rep"), F.col("component").alias("comp"))
-        split = sized.where("blocks > 1").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        head = split.where("rep = leader").select("leader", F.col("comp").alias("head"))
-        split = stored(split.join(head, "leader").withColumn("out", F.col("comp") != F.col("head")), "split")
-        apart = split.where("out").groupBy("leader").agg(F.ceil(F.count("*") / float(block)).cast("long").alias("chunks"))
-        late = split.join(apart, "leader").withColumn("own", own).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")))
-        upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-        one = late.select("rep", "comp", "leader", "chunks", "own", F.explode(upto("chunks")).alias("c")).select("rep", "comp", "leader", (F.col("own") * F.col("chunks") + F.col("c")).alias("block"))
-        two = late.where("out").select("rep", "comp", "leader", "chunks", "chunk", F.explode(upto("blocks")).alias("o")).select("rep", "comp", "leader", (F.col("o") * F.col("chunks") + F.col("chunk")).alias("block"))
-        again = one.unionByName(two).distinct().groupBy("rep", "comp").agg(gather)
-        more = stored(block_links(docs, again, k, num, den), "links")
-        if more.limit(1).count():
-            found = stored(connected(links.unionByName(more)), "components")
-        drop_stored(split)
+    postings = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token"))
+    pairs = stored(leaders(postings, num, den), "pairs")
+
+    def members(places: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("payload"))
+        return texts.join(places, "rep").select("rep", "comp", "payload", F.explode("places").alias("p")).select("p.leader", "p.block", "rep", "comp", "payload")
+
+    found = link_groups(pairs, members, lambda texts: sets_of(pa.array(texts, pa.string()), k), num, den, block)
     result = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     result = result.join(found.withColumnsRenamed({"id": "rep", "component": "c"}), "rep", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id"))
