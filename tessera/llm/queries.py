@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hnsw, jaccard, language, matroska, packing, quality
+from . import bpe, chat, hnsw, jaccard, language, lines, matroska, mixcoder, packing, quality
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,10 @@ def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixcoder.through_files(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,11 @@ def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.text_digests(table(spark, sf_dir, "documents"))
 
@@ -49,7 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_mixture, op2_matroska, op3_hnsw, op5_best_fit_packing, op6_quality_ftrl, op8_bpe_automaton, op9_ngram_jaccard,
+        op1_language_mixture, op2_matroska, op3_hnsw, op4_context_mixing_coder, op5_best_fit_packing, op6_quality_ftrl, op7_fuzzy_lines, op8_bpe_automaton, op9_ngram_jaccard,
         op10_chat_formatting,
     )
 }
