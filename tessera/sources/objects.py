@@ -95,7 +95,7 @@ def resolve_names(values: DataFrame, expressions: DataFrame) -> DataFrame:
     matched = values.join(first, F.lower("name") == F.col("_key")).select("id", F.col("name").alias("from"), "to")
     fold = matched.agg(F.array_sort(F.collect_list(F.struct("id", "from", "to"))).alias("steps"))
     step = lambda acc, s: F.replace(acc, s["from"], s["to"])
-    return values.select("id", F.aggregate(fold.scalar(), F.col("name"), step).alias("name"), "value")
+    return values.withColumn("steps", fold.scalar()).select("id", F.aggregate("steps", F.col("name"), step).alias("name"), "value")
 
 
 def first_hit(df: DataFrame, condition: str, order: str) -> DataFrame:
