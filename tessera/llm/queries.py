@@ -7,7 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, chat, hnsw, jaccard, language, lines, matroska, mixcoder, packing, quality
 from .common import table
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') x from documents),
+s as (
+  select doc_id, unnest(list_distinct(case when len(x) >= 4 then list_transform(range(1, len(x) - 2), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] || ' ' || x[i + 3])
+    when len(x) > 0 then [array_to_string(x, ' ')] else [] end)) g from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) m from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * m >= 85 * (x.n + y.n - m)),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.component_id from documents d left join n using (doc_id) join (select a doc_id, min(b) component_id from r group by a) c using (doc_id)""",
+    "op10_chat_formatting": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, replace(replace(replace(text, '\', '\\'), '<turn>', '\o'), '</turn>', '\c') as body, replace(replace(replace(replace(role, '\', '\\'), '<turn>', '\o'), '</turn>', '\c'), chr(10), '\n') as head from c)
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(length(head) + length(body) + 15)::bigint formatted_chars
+from e group by conv_id""",
+}
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,18 @@ def test_run_gives_the_last_stage(spark, steps):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.01")
     assert got.columns == [*cols, "sequence_id", "offset"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, steps[5].select(cols).collect()))
+
+
+@pytest.mark.parametrize("name", ["op9_ngram_jaccard", "op10_chat_formatting"])
+def test_query_equals_oracle(spark, name):
+    import duckdb
+
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.QUERIES[name](spark, sf)
+    with duckdb.connect() as db:
+        for t in ("documents", "conversations"):
+            db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        want = db.sql(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
