@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import table_functions
 from tessera.operators import devices, kernels, network, ordering, tasks
-from tessera.plans import chunks, tiles
+from tessera.plans import chunks, scheduling, tiles
 from tessera.sources import files, objects
 from tessera.streaming import telemetry
 
@@ -102,6 +103,30 @@ def chunk_replicas(spark, sf_dir):
     return chunks.replicas(chunks.chunks(spark, "equal", *chunks.bounds(read(spark, sf_dir, "lineitem"), "l_orderkey"), NODES), 2)
 
 
+@query(_GUIDED + " select chunk_no, cast(planned_size as bigint) planned_size, cast(low as bigint) low, cast(up as bigint) up, cast(up-low+1 as bigint) n_elements from c")
+def chunk_table_function(spark, sf_dir):
+    table_functions.register(spark)
+    lo, hi = chunks.bounds(read(spark, sf_dir, "lineitem"), "l_orderkey")
+    return spark.sql(f"select * from chunk_plan({lo}, {hi}, {NODES}, 'guided')")
+
+
+@query(
+    f"with {_B}, s as (select count(*) n from supplier), k as (select s_suppkey node, row_number() over (order by s_suppkey) i from supplier) "
+    "select cast(i as int) chunk_no, cast(case when i=1 then lo else lo+((hi-lo)//n)*(i-1)+1 end as bigint) low, cast(case when i=n then hi else lo+((hi-lo)//n)*i end as bigint) up, node from k, b, s"
+)
+def chunk_assignment(spark, sf_dir):
+    nodes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    lo, hi = chunks.bounds(read(spark, sf_dir, "lineitem"), "l_orderkey")
+    return scheduling.RoundRobin("equal").schedule_range(nodes, lo, hi).select("chunk_no", "low", "up", "node")
+
+
+@query("select count(*)::bigint total_nodes, (select count(*) from orders)::bigint total_chunks, least(count(*), (select count(*) from orders))::bigint selected_nodes, (count(*) - least(count(*), (select count(*) from orders)))::bigint backup_nodes from supplier")
+def task_schedule_summary(spark, sf_dir):
+    nodes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    tasks_ = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return scheduling.summary(nodes, scheduling.RoundRobin().schedule(nodes, tasks_))
+
+
 @query()
 def qss_delta_sweep(spark, sf_dir):
     return chunks.delta_sweep(spark)

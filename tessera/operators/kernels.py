@@ -187,3 +187,18 @@ def apply_tiled(pixels: DataFrame, name: str, width: int, height: int, columns:
     cut = tiles.read_pixels(pixels.select("x", "y", "p"), width, height, columns, rows, halo)
     done = cut.groupBy("tile").applyInPandas(run, cut.schema)
     return tiles.write_pixels(done, width, height, columns, rows).select("y", "x", "p")
+
+
+def compute(pixels: DataFrame, name: str, width: int | None = None, height: int | None = None, path: str = "auto") -> tuple[DataFrame, str]:
+    """A kernel's result and the path that it takes: ``windows`` (SQL) or ``tiled`` (numpy).
+
+    The choice never fails: kernels without a SQL form, or a wish for tiles, take the tiled path where the raster's size
+    is known, and anything else the windows.
+    """
+    kernel = by_name(name)
+    sql = kernel.point is not None or kernel.stencil is not None
+    if width and height and (path == "tiled" or not sql):
+        return apply_tiled(pixels, name, width, height, max(1, width // 512), max(1, height // 512)), "tiled"
+    if not sql:
+        raise ValueError(f"{name} has no SQL form, and tiles need the raster's size")
+    return apply(pixels, name), "windows"

@@ -101,3 +101,13 @@ def resolve_names(values: DataFrame, expressions: DataFrame) -> DataFrame:
 def first_hit(df: DataFrame, condition: str, order: str) -> DataFrame:
     """The first row (in order) that meets a condition; a scan keeps one row a partition."""
     return df.where(condition).orderBy(order).limit(1)
+
+
+def append_elements(elements: DataFrame, path: str) -> None:
+    """Append keyed elements (object, instance, position, value, seq); readers take the last write of each key."""
+    elements.select("object", "instance", "position", "value", "seq").write.mode("append").parquet(path)
+
+
+def random_values(spark: SparkSession, n: int, seed: int, partitions: int | None = None) -> DataFrame:
+    """n pseudo-random integers that depend on the seed alone."""
+    return spark.range(0, n, 1, partitions).select("id", F.expr(f"cast(pmod(xxhash64(id, {seed}), 2147483647) as int)").alias("value"))

@@ -113,3 +113,28 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     live = telemetry.available_now(telemetry.live_routes(hops(stream)), "routes", "update", str(tmp_path / "b"))
     last = {(r.dst, r.via): r.ts for r in live.where("live").groupBy("dst", "via").agg(F.max("ts").alias("ts")).collect()}
     assert last == {(r.dst, r.via): r.ts for r in hops(events).groupBy("dst", "via").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).collect()}
+
+
+def test_schedulers(spark):
+    from tessera.plans import scheduling
+
+    nodes = spark.createDataFrame([("b",), ("a",), ("c",)], "node string")
+    s = scheduling.RoundRobin("equal")
+    assert {(r.chunk_no, r.node) for r in s.schedule_range(nodes, 0, 30).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+    two = spark.createDataFrame([(0,), (1,)], "id int")
+    assert scheduling.summary(nodes, s.schedule(nodes, two)).first()[:] == (3, 2, 2, 1)
+    assert s.schedule(nodes.limit(0), two).where("node is null").count() == 2 and s.errors
+
+
+def test_elements_and_paths(spark, tmp_path):
+    from tessera.operators import kernels
+
+    e = lambda v, seq: spark.createDataFrame([("o", 1, "p", v, seq)], "object string, instance int, position string, value string, seq long")
+    objects.append_elements(e("old", 1), str(tmp_path / "e"))
+    objects.append_elements(e("new", 2), str(tmp_path / "e"))
+    last = objects.last_write(spark.read.parquet(str(tmp_path / "e")), ["object", "instance", "position"], "value", "seq")
+    assert objects.element(last, "o", "p", 1).first().value == "new"
+    assert objects.random_values(spark, 100, 7).exceptAll(objects.random_values(spark, 100, 7, 3)).count() == 0
+    pixels = objects.random_values(spark, 12, 1).select(F.expr("id div 4").alias("y"), (F.col("id") % 4).alias("x"), (F.col("value") % 16777216).alias("p"))
+    (a, one), (b, two) = kernels.compute(pixels, "sobel"), kernels.compute(pixels, "sobel", 4, 3, "tiled")
+    assert (one, two) == ("windows", "tiled") and a.exceptAll(b.select(*a.columns)).count() == 0
