@@ -6,67 +6,141 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
+
+from .common import span_hashes
 
 
 class WordCachedEncoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     BPE works inside pre-split words, so the library encodes each distinct word once and a text is the concatenation of
-    its words' ids. Texts with characters outside PLAIN (where pattern engines may differ) or with a special token's
-    string go to the library whole. The cache holds ``limit`` words at most; a full cache is emptied.
+    its words' ids. Plain texts are split, hashed and put together as numpy arrays; a word is known by a 64-bit hash of
+    its characters and length. Texts with characters beyond Latin-1 (where pattern engines may differ), with a special
+    token's string or with something like an English contraction go to the library whole. At most ``limit`` words are
+    kept; a full table is emptied.
     """
 
-    #: Characters that every pattern engine classifies alike.
-    PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
-    CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-    #: The byte-level tokenizer's pre-split pattern (fixed value) with its classes spelled out for PLAIN characters.
-    LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t\n\r "
-    WORDS = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+    CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0]")
+    CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
+    #: Kinds of Latin-1 characters: blank, other white space, letters, numbers, anything else.
+    KIND = np.array([0 if c == 32 else 1 if c in (9, 10, 13) else 2 if chr(c).isalpha() else 3 if chr(c).isnumeric() else 4 for c in range(256)], np.uint8)
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.cache = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+
+    def _plain(self, text: str) -> bytes | None:
+        """A text's Latin-1 bytes, if its words can be found here."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if self.CONTROL.search(text) or self.CONTRACTION.search(text) or any(s in text for s in self.special):
+            return None
+        return raw
+
+    @classmethod
+    def split(cls, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where the words of plain texts start (data holds the texts, off where each starts and the end).
+
+        The pattern is that of byte-level BPE: letters, numbers or other characters in a row, each with the one blank
+        before; of white space that something follows, the last character is for itself (or is that blank).
+        """
+        kind = cls.KIND[data]
+        white = kind < 2
+        first = np.zeros(len(data) + 1, bool)
+        first[off] = True
+        begins = first[:-1].copy()
+        before, now = kind[:-1], kind[1:]
+        begins[1:] |= np.where(white[1:], ~white[:-1], np.where(white[:-1], before == 1, before != now))
+        last = white.copy()  # the last of two or more white characters, with something after it in the same text
+        last[:-1] &= ~white[1:] & ~first[1:-1]
+        last[-1:] = False
+        last[1:] &= white[:-1] & ~first[1:-1]
+        last[:1] = False
+        return np.flatnonzero(begins | last)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if (not t.isascii() or self.CONTROL.search(t)) and self.PLAIN.search(t) or any(s in t for s in self.special)]
+        out: list[bytes] = [b""] * len(texts)
+        raw = [self._plain(t) for t in texts]
+        whole = [i for i, x in enumerate(raw) if x is None]
         for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        split, new, get = {}, set(), self.cache.get
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                words = self.WORDS.findall(t)
-                ids = list(map(get, words))
-                try:
-                    out[i] = b"".join(ids)
-                except TypeError:  # some are None
-                    split[i] = words
-                    new.update([w for w, x in zip(words, ids) if x is None])
-        self._learn(list(new))
-        for i, words in split.items():
-            out[i] = b"".join(map(self.cache.__getitem__, words))
+        own = [i for i, x in enumerate(raw) if x]
+        if not own:
+            return out
+        joined = b"".join(raw[i] for i in own)
+        off = np.cumsum([0, *(len(raw[i]) for i in own)])
+        data = np.frombuffer(joined, np.uint8)
+        start = self.split(data, off)
+        end = np.append(start[1:], len(data))
+        code, words = pd.factorize(span_hashes(data, start, end))
+        place = np.empty(len(words), np.int64)
+        place[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        if len(self.known) > self.limit:
+            self._forget()
+        keys = words.tolist()
+        index = list(map(self.known.get, keys))
+        new = [k for k, x in enumerate(index) if x is None]
+        if new:
+            a, b = start[place[new]].tolist(), end[place[new]].tolist()
+            self._learn([keys[k] for k in new], [joined[x:y].decode("latin-1") for x, y in zip(a, b)])
+            index = list(map(self.known.get, keys))
+        at = np.array(index)[code]
+        n, begin = self.length[at], self.start[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)].astype("<u4").tobytes()
+        cut = 4 * total[np.searchsorted(start, off)]
+        for i, a, b in zip(own, cut.tolist(), cut[1:].tolist()):
+            out[i] = ids[a:b]
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new words. Those of a blank and letters go in long runs, which the library splits at the blanks."""
-        runs = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        for k in range(0, len(runs), 1000):
-            part = runs[k : k + 1000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            cut = [0, *(np.flatnonzero(np.diff(e.word_ids)) + 1).tolist(), len(e.ids)]
-            self.cache.update(zip(part, (ids[4 * a : 4 * b] for a, b in zip(cut, cut[1:])), strict=True))
-        rest = [w for w in new if w not in self.cache]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        """Encode new words. Those of letters go in long runs, which the library splits at their blanks, or at line
+        ends that are put between them."""
+        kinds: dict[int, list[int]] = {0: [], 1: [], 2: []}
+        for k, w in enumerate(words):
+            kinds[0 if w[0] == " " and w[1:].isalpha() else 1 if w.isalpha() else 2].append(k)
+        for kind, between in ((0, ""), (1, "\n")):
+            for a in range(0, len(kinds[kind]), 1000):
+                part = kinds[kind][a : a + 1000]
+                e = self.tokenizer.encode(between.join([words[k] for k in part]), add_special_tokens=False)
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(e.word_ids)) + 1, [len(e.ids)]])
+                ids, lengths = np.array(e.ids, np.uint32), np.diff(cut)
+                if kind:
+                    keep = np.repeat(np.arange(len(lengths)) % 2 == 0, lengths)
+                    ids, lengths = ids[keep], lengths[::2]
+                if len(lengths) != len(part):
+                    raise ValueError("the library splits words otherwise than the pattern says")
+                self._add([keys[k] for k in part], ids, lengths)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in kinds[2]], add_special_tokens=False)]
+        if rest:
+            self._add([keys[k] for k in kinds[2]], np.array([i for x in rest for i in x], np.uint32), np.array([len(x) for x in rest]))
+
+    def _add(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(keys) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.start[n : n + len(keys)] = self.n_ids + np.cumsum(lengths) - lengths
+        self.length[n : n + len(keys)] = lengths
+        self.n_ids += len(ids)
+        self.known.update(zip(keys, range(n, n + len(keys))))
 
 
 _encoders: dict[str, WordCachedEncoder] = {}
