@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import table_functions
 from tessera.operators import devices, kernels, network, ordering, tasks
@@ -552,6 +551,25 @@ def cache_stats_windowed(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(f"with {_TOLD} select command, user_id::varchar pid, n_bytes size, ms comm_oh, ts from t")
+def telemetry_wire(spark, sf_dir):
+    lines = telemetry.to_wire(telemetry.commands(read(spark, sf_dir, "events")))
+    junk = spark.createDataFrame([("junk",), (None,), ('{"other": 1}',)], "value string")
+    return telemetry.from_wire(lines.unionByName(junk))
+
+
+@query(f"with {_HOPS} select dst, via, to_json({{'dst': dst, 'via': via, 'distance': distance}})::varchar json from u")
+def hop_json(spark, sf_dir):
+    return network.to_json(network.upsert_hops(hop_rows(spark, sf_dir)).select("dst", "via", "distance"), "dst", "via")
+
+
+@query("select n_name as name, case n_nationkey%7 when 6 then null when 3 then case when n_regionkey%2=0 then 'Metal needs macOS' else 'metal: no driver is probed' end when 2 then case when n_regionkey%2=0 then 'rocm: no driver is probed' else 'ROCm needs Linux' end else lower((['OPENCL','CUDA','ROCM','METAL','VULKAN','NPU','JAVA_CPU'])[n_nationkey%7+1])||': no driver is probed' end reason from nation")
+def device_unavailable_reason(spark, sf_dir):
+    backend = F.element_at(F.array(*map(F.lit, devices.BACKENDS)), F.col("n_nationkey") % 7 + 1)
+    os = F.when(F.col("n_regionkey") % 2 == 0, "Linux").otherwise("Mac OS X")
+    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), devices.unavailable_reason(backend, os).alias("reason"))
+
+
 @query("select user_id, event_id, event_type, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from events) where k=1")
 def node_liveness(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")

@@ -82,3 +82,15 @@ def classify(kind: Column, unified: Column, vendor: Column) -> Column:
     v = F.lower(F.coalesce(vendor, F.lit("")))
     shared = F.when(v.contains("amd") | v.contains("advanced micro"), "APU").otherwise("INTEGRATED_GPU")
     return F.when(kind == "GPU", F.when(unified, shared).otherwise("DISCRETE_GPU")).when(kind == "ACCELERATOR", "FPGA").when(kind == "CPU", "CPU").otherwise("OTHER")
+
+
+#: Why a backend can't be used where its driver isn't there, by operating system (fixed values of this build).
+REASONS = {"METAL": ("mac", "Metal needs macOS"), "ROCM": ("linux", "ROCm needs Linux")}
+
+
+def unavailable_reason(backend: Column, os: Column) -> Column:
+    """Why a backend of this build can't run kernels: only the CPU path exists, whatever the operating system."""
+    reason = F.when(backend == "JAVA_CPU", F.lit(None).cast("string"))
+    for name, (needs, text) in REASONS.items():
+        reason = reason.when((backend == name) & ~F.lower(os).contains(needs), text)
+    return reason.otherwise(F.concat(F.lower(backend), F.lit(": no driver is probed")))

@@ -84,3 +84,8 @@ def parse_nodes(rows: DataFrame, column: str, as_of_ms: Column) -> DataFrame:
 def latest(rows: DataFrame, key: str, at: str, ordinal: str) -> DataFrame:
     """The newest row of each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(at, ordinal)).alias("r")).select(key, "r.*")
+
+
+def to_json(rows: DataFrame, *keys: str, pretty: bool = False) -> DataFrame:
+    """Rows of any entity as JSON objects in the column ``json``, beside the keys; null fields are left out."""
+    return rows.select(*keys, F.to_json(F.struct(*rows.columns), {"pretty": str(pretty).lower()}).alias("json"))

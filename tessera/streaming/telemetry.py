@@ -20,6 +20,21 @@ def commands(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", "user_id", kind.alias("command"), F.floor(F.col("value") * 1000).cast("long").alias("n_bytes"), F.get_json_object("props", "$.k").cast("long").alias("ms"))
 
 
+WIRE = "command string, pid string, size bigint, comm_oh bigint, ts timestamp_ntz"
+_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def to_wire(told: DataFrame) -> DataFrame:
+    """Telemetry rows as JSON lines (column value), the form of files and queues; a sink is any writer of strings."""
+    fields = F.struct("command", F.col("user_id").cast("string").alias("pid"), F.col("n_bytes").alias("size"), F.col("ms").alias("comm_oh"), "ts")
+    return told.select(F.to_json(fields, _TIME).alias("value"))
+
+
+def from_wire(lines: DataFrame) -> DataFrame:
+    """Telemetry rows of JSON lines, from a table or a stream; lines that aren't telemetry are left out."""
+    return lines.select(F.from_json("value", WIRE, _TIME).alias("t")).where("t.command is not null").select("t.*")
+
+
 def _stats() -> list[Column]:
     hit, miss = F.col("command") == "CACHEHIT", F.col("command") == "CACHEMISS"
     ms = F.sum(F.when(miss, F.col("ms")).otherwise(0))
