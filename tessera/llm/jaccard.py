@@ -258,9 +258,9 @@ class SignatureTree:
 def link_blocks(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarray]], num: int, den: int) -> DataFrame:
     """Links (a, b) found in blocks. members: leader, block, rep, comp, payload; to_sets makes sets of payloads."""
 
-    def found_in(rows: dict[int, tuple[int, object]]) -> list[tuple[int, int]]:
+    def found_in(rows: dict[int, tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
         ids = sorted(rows)
-        sets = to_sets([rows[i][1] for i in ids])
+        sets = [rows[i][1] for i in ids]
         some = [k for k, x in enumerate(sets) if len(x)]
         comp = np.array([rows[ids[k]][0] for k in some])
         if len(some) > FAN:
@@ -277,11 +277,12 @@ def link_blocks(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarra
 
         for batch in it:
             out: list[tuple[int, int]] = []
-            for leader, block, rep, comp, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            sets = to_sets(batch.column(4).to_pylist())
+            for leader, block, rep, comp, own in zip(*(c.to_pylist() for c in batch.columns[:4]), sets):
                 if (leader, block) != key:
                     out += found_in(rows) if len(rows) > 1 else []
                     key, rows = (leader, block), {}
-                rows[rep] = comp, payload
+                rows[rep] = comp, own
             yield table(out)
         yield table(found_in(rows) if len(rows) > 1 else [])
 

@@ -29,7 +29,7 @@ _SALTS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _BAND = np.concatenate([_random.permutation(HASHES), _random.permutation(HASHES)])[: BANDS * ROWS].reshape(BANDS, ROWS)
 _A = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Characters that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +60,7 @@ def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for factor in _A:  # 1, 2, 4, then 8 characters
         y = x * factor
         y[: max(len(x) - step, 0)] += x[step:]
-        x, step = mix(y) if step < 4 else y, 2 * step
+        x, step = y ^ (y >> np.uint64(29)), 2 * step
     x = mix(x)
     count = np.maximum(size - SHINGLE + 1, 1)
     off = np.concatenate([[0], np.cumsum(count)])
