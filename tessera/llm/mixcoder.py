@@ -355,7 +355,6 @@ def read_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["shard", "segment", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     docs = files.select("shard", "segment", "content").mapInArrow(run, "shard int, segment int, doc_id long, own long, n_tokens long, ids_crc32 long")
     totals = sorted(files.groupBy("shard").agg(F.sum("n_tokens")).collect())
     before, shards = 0, []
