@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, utf8, with_fields
 
 BUCKETS = 1 << 15
-#: Documents of each language that the n-gram counts are fitted on, at most: those with the least hash of doc_id.
+#: Documents of each language that the n-gram counts are fitted on, in the mean: those whose hash of doc_id is below a
+#: threshold that the language's count gives (all, if there are fewer).
 FIT_DOCS = 4000
 #: Languages at most; with the buckets it bounds the model.
 MAX_LANGUAGES = 200

@@ -16,7 +16,8 @@ from .common import ASCII_SPACE, mix, small_batches, span_hashes, utf8, with_fie
 from .language import held_out
 
 BITS = 18
-#: Labelled documents that training takes of each class, at most: those with the least hash of doc_id.
+#: Labelled documents that training takes of each class, in the mean: those whose hash of doc_id is below a threshold
+#: that the class's count gives (all, if there are fewer).
 FIT_DOCS = 4000
 EPOCHS, RATE, RATE_BASE, L1, L2 = 4, 1.0, 0.1, 1e-4, 1e-4
 #: Documents with a lower score are rejected in the pipeline.
