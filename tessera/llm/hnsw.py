@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHARD = 8192
-BLOCK = 2048
+#: Queries that a task takes through a shard at once.
+BLOCK = 1 << 16
 M, EF_BUILD, EF_SEARCH = 16, 80, 120
 
 
@@ -220,54 +221,40 @@ def build_index(rows: DataFrame, k: int = 20, shard_rows: int = SHARD) -> DataFr
     return stored(dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, graph binary, vectors binary, ids array<array<long>>"), "hnsw-index")
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Queries (vec_id, vector) in blocks of up to ``block`` rows: block, dim, ids, vectors (bytes)."""
-
-    def run(it):
-        for batch in it:
-            by_dim: dict[int, list] = {}
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_dim.setdefault(len(v), []).append((i, v))
-            for dim, rows in by_dim.items():
-                for a in range(0, len(rows), block):
-                    part = rows[a : a + block]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{part[0][0]}-{len(part)}-{dim}-{a}"]), pa.array([dim], pa.int32()), pa.array([[i for i, _ in part]], pa.list_(pa.int64())), pa.array([np.array([v for _, v in part], np.float32).tobytes()], pa.binary())],
-                        names=["block", "dim", "ids", "vectors"],
-                    )
-
-    return queries.mapInArrow(run, "block string, dim int, ids array<long>, vectors binary")
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD, ef: int = EF_SEARCH) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD, ef: int = EF_SEARCH, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each query (rows of vec_id, embedding).
 
     Vectors that are null, zero or hold null or non-finite components take no part, and only vectors of a query's own
-    length do. Rows with equal vec_id and vector count once; a query's own row is left out.
+    length do. Rows with equal vec_id and vector count once; a query's own row is left out. A task has one shard's graph
+    and one block of queries at a time; the merge has k candidates of each shard for a query.
     """
     index = build_index(rows, k, shard_rows)
     usable = _usable(queries).distinct()
-    blocks = query_blocks(usable.repartition(max(1, -(-usable.count() // BLOCK)), "vec_id"))
-    pairs = blocks.withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"}).join(index, "dim")
-
-    def run(it):
-        for batch in it:
-            for r in range(batch.num_rows):
-                cell = lambda name: batch.column(batch.schema.get_field_index(name))[r].as_py()  # noqa: B023, E731
-                dim, own = cell("dim"), cell("query_ids")
-                q = np.frombuffer(cell("query_vectors"), np.float32).reshape(-1, dim)
-                graph, x, ids = Graph.from_bytes(cell("graph")), np.frombuffer(cell("vectors"), np.float32).reshape(-1, dim), cell("ids")
-                hits = []
-                for i, vector in zip(own, q):
-                    at = graph.search(vector, k + 1, ef)
-                    exact = (x[at].astype(np.float64) * vector.astype(np.float64)).sum(1)
-                    at, exact = at[order := np.argsort(-exact, kind="stable")[: 4 * k]], exact[order]
-                    rows = sorted((-float(s), j) for s, a in zip(exact, at) for j in ids[a] if j != i)[:k]
-                    hits.append([{"s": s, "vec_id": j} for s, j in rows])
-                kind = pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(hits, kind)], names=["query_id", "hits"])
-
-    found = pairs.select("dim", "query_ids", "query_vectors", "graph", "vectors", "ids").mapInArrow(run, "query_id long, hits array<struct<s:double,vec_id:bigint>>")
+    blocks = max(1, -(-usable.count() // block))
+    shards = index.agg(F.max("shard")).first()[0] or 0
+    asked = usable.select("vec_id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        own, hits = [], []
+        if shard.num_rows and asked.num_rows:
+            dim = shard.column("dim")[0].as_py()
+            graph, ids = Graph.from_bytes(shard.column("graph")[0].as_py()), shard.column("ids")[0].as_py()
+            x = np.frombuffer(shard.column("vectors")[0].as_py(), np.float32).reshape(-1, dim).astype(np.float64)
+            q = asked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            own = asked.column("vec_id").to_pylist()
+            for i, vector in zip(own, q):
+                at = graph.search(vector, k + 1, ef)
+                exact = (x[at] * vector.astype(np.float64)).sum(1)
+                order = np.argsort(-exact, kind="stable")[: 4 * k]
+                found = sorted((-float(s), j) for s, a in zip(exact[order], at[order]) for j in ids[a] if j != i)[:k]
+                hits.append([{"s": s, "vec_id": j} for s, j in found])
+        kind = pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())]))
+        return pa.table({"query_id": pa.array(own, pa.int64()), "hits": pa.array(hits, kind)})
+
+    keys = ["shard", "dim", "block"]
+    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, hits array<struct<s:double,vec_id:bigint>>")
     merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
     return merged.select("query_id", F.posexplode("hits").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score")
