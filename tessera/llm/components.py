@@ -23,7 +23,7 @@ def connected(edges: DataFrame, first: str = "a", second: str = "b", most_rounds
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
@@ -41,6 +41,21 @@ def connected(edges: DataFrame, first: str = "a", second: str = "b", most_rounds
     return found.unionByName(alone.join(found, "id", "left_anti"))
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components as edges from the least id of each: what a task can settle needs no round."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [(root(x), x) for x in up if root(x) != x]
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Number of edges and a checksum that doesn't depend on their order."""
     h = F.xxhash64("a", "b")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, LOWER, shingle_hashes, small_batches, span_hashes, stored, utf8, word_spans
-from .components import connected
+from .components import connected, stars
 
 BLOCK = 1024
 SKETCH_BITS = 20
@@ -267,7 +267,7 @@ def link_blocks(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarra
             links = SignatureTree([sets[k] for k in some]).links(num, den, comp)
         else:
             links = few_links([sets[k] for k in some], num, den, comp)
-        return [(ids[some[a]], ids[some[b]]) for a, b in links]
+        return stars([(ids[some[a]], ids[some[b]]) for a, b in links])
 
     def traverse(it):
         key, rows = None, {}
