@@ -117,22 +117,25 @@ def leaders(postings: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
     n is the size of the id's set and at the token's place in its order. A token that is the first one that two sets
     share leaves at most n - at elements to share in each; so ids of a token are dealt to separate leaders where sizes
     leap by more than the threshold allows, and ids that can't reach it with any other id of a small group are left out.
-    With num = 0 sizes and places don't matter.
+    With num = 0 sizes and places don't matter, and postings are (id, token) alone.
     """
-    dealt = postings.select("id", "token", "n", "at").repartition("token")
+    dealt = postings.select("id", "token", *(("n", "at") if num else ())).repartition("token")
 
     def run(it):
         parts = [[c.to_numpy() for c in b.columns] for b in it if b.num_rows]
         if not parts:
             return
-        rep, token, n, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((rep, n, token))
-        rep, token, n, at = rep[order], token[order], n[order].astype(np.int64), at[order].astype(np.int64)
-        first = np.concatenate([[True], (token[1:] != token[:-1]) | (den * n[:-1] < num * n[1:])])
+        rep, token, *rest = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((rep, rest[0], token) if num else (rep, token))
+        rep, token = rep[order], token[order]
+        first = np.concatenate([[True], token[1:] != token[:-1]])
+        if num:
+            n, at = (x[order].astype(np.int64) for x in rest)
+            first[1:] |= den * n[:-1] < num * n[1:]
         group = np.cumsum(first) - 1
         size = np.bincount(group)[group]
-        useful = size > near
-        for d in range(1, near):  # in groups of up to ``near`` ids all pairs are looked at
+        useful = size > (near if num else 1)
+        for d in range(1, near if num else 0):  # in groups of up to ``near`` ids all pairs are looked at
             i = np.flatnonzero((group[d:] == group[:-d]) & (size[d:] <= near))
             j = i + d
             most = np.minimum(n[i] - at[i], n[j] - at[j])

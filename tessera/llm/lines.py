@@ -152,7 +152,7 @@ def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLO
     named = docs.where("doc_id is not null")
     lines = stored(line_hashes(named), "lines")
     classes = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first")), "classes")
-    pairs = stored(leaders(band_postings(named).withColumns({"n": F.lit(0), "at": F.lit(0)})), "pairs")
+    pairs = stored(leaders(band_postings(named)), "pairs")
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def members(places: DataFrame) -> DataFrame:
