@@ -31,8 +31,12 @@ SMOOTHING = 0.5
 PENALTY = 3.0
 ROUNDS = 30
 UNKNOWN = "und"
-#: The pipeline rejects documents in no known language, and those whose score is below this.
+#: The pipeline rejects documents in no known language, those whose score is below this, and those whose gain is below
+#: LEAST_GAIN. The score compares the learned languages with each other and can't be below 1 / their number; the gain is
+#: absolute.
 LEAST_SCORE = 0.2
+#: Of the mean log-likelihood of an n-gram in the mixture, less that of the background, which draws every bucket alike.
+LEAST_GAIN = 0.0
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -69,12 +73,13 @@ def mixture(p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndar
     return pi, mixed, float(c @ np.log(mixed))
 
 
-def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float]:
-    """Proportions of the chosen languages and the score of the largest: its proportion times its posterior."""
+def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float, float]:
+    """Proportions of the chosen languages, the score of the largest (its proportion times its posterior), and the gain:
+    by how much an n-gram is likelier in the mixture than in a background of equal buckets (mean of log ratios)."""
     counts = np.bincount(grams(data), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     if not len(at):
-        return {}, 0.0
+        return {}, 0.0, 0.0
     c, p = counts[at].astype(float), model.probability[at]
     n = c.sum()
     single = c @ np.log(p)
@@ -93,7 +98,8 @@ def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dic
         chosen, pi, mixed, best = more, pi2, mixed2, value
     top = chosen[int(pi.argmax())]
     posterior = 1 / np.exp(np.minimum((single - single[top]) / 3, 50)).sum()
-    return dict(zip(chosen, map(float, pi))), float(min(1.0, pi.max() * posterior)) if len(chosen) == 1 else float(pi.max())
+    score = float(min(1.0, pi.max() * posterior)) if len(chosen) == 1 else float(pi.max())
+    return dict(zip(chosen, map(float, pi))), score, float(best / n + np.log(BUCKETS))
 
 
 def fit(docs: DataFrame, usable: Column, per_language: int = FIT_DOCS) -> Model | None:
@@ -123,11 +129,11 @@ def fit(docs: DataFrame, usable: Column, per_language: int = FIT_DOCS) -> Model
     return Model(languages, np.ascontiguousarray((total / total.sum(1, keepdims=True)).T))
 
 
-def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, names: tuple[str, str, str] = ("lang_pred", "score", "lang_mix")) -> DataFrame:
-    """Add the language, its score and the mixture (language -> proportion) to docs, under ``names``; columns of these
-    names are replaced, all others stay.
+def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, names: tuple[str, str, str, str] = ("lang_pred", "score", "lang_mix", "gain")) -> DataFrame:
+    """Add the language, its score, the mixture (language -> proportion) and the gain to docs, under ``names``; columns
+    of these names are replaced, all others stay.
 
-    A text that is null or has no letter, or any text without a model, gets ``und``, 0 and an empty mixture.
+    A text that is null or has no letter, or any text without a model, gets ``und``, 0, an empty mixture and 0.
     """
     small_batches(docs.sparkSession)
     docs = docs.select([f"`{c}`" for c in docs.columns if c not in names])
@@ -138,17 +144,18 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, nam
         for batch in it:
             column = batch.column(text_at)
             data, off = utf8(column)
-            best, scores, mixes = [], [], []
+            best, scores, mixes, gains = [], [], [], []
             for k, text in enumerate(column.to_pylist()):
-                found, score = infer(model, data[off[k] : off[k + 1]], penalty) if model and text and _LETTER.search(text) else ({}, 0.0)
+                found, score, gain = infer(model, data[off[k] : off[k + 1]], penalty) if model and text and _LETTER.search(text) else ({}, 0.0, 0.0)
                 best.append(model.languages[max(found, key=found.get)] if found else UNKNOWN)
                 scores.append(score)
                 mixes.append([(model.languages[i], p) for i, p in found.items()])
+                gains.append(gain)
             arrays = [batch.column(i) for i in range(len(kept))]
-            arrays += [pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.map_(pa.string(), pa.float64()))]
+            arrays += [pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.map_(pa.string(), pa.float64())), pa.array(gains, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, f"{names[0]} string, {names[1]} double, {names[2]} map<string,double>"))
+    return docs.mapInArrow(run, with_fields(docs.schema, f"{names[0]} string, {names[1]} double, {names[2]} map<string,double>, {names[3]} double"))
 
 
 def held_out(modulus: int, fold: int) -> Column:
@@ -163,7 +170,8 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents in a known language, with the columns of docs."""
-    names = ("_lang_pred", "_lang_score", "_lang_mix")
+    """Pipeline stage: the documents in a known language, with the columns of docs. A text that the learned languages
+    explain no better than equal buckets do is in none of them."""
+    names = ("_lang_pred", "_lang_score", "_lang_mix", "_lang_gain")
     judged = identify(docs, fit(docs, ~held_out(5, 0)), names=names)
-    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select([f"`{c}`" for c in docs.columns])
+    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE) & (F.col(names[3]) >= LEAST_GAIN)).select([f"`{c}`" for c in docs.columns])

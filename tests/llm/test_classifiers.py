@@ -45,6 +45,20 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in language.predict_documents(no_lang).collect()} == {"und"}
 
 
+def test_keep_known_rejects_foreign_and_random_letters(spark, sf):
+    docs = table(spark, sf.replace("0.001", "0.1"), "documents")
+    letters = random.Random(1)
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", *("".join(letters.choices("abcdefghijklmnopqrstuvwxyz ", k=k)) for k in (60, 600, 6000)),
+    ]
+    clean = ["All human beings are born free and equal in dignity and rights.", "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Tous les êtres humains naissent libres et égaux."]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange + clean)], "doc_id long, text string")
+    kept = {r.doc_id for r in language.keep_known(docs.unionByName(more, allowMissingColumns=True)).select("doc_id").collect()}
+    assert {i for i in kept if i < 0} == {-1 - len(strange), -2 - len(strange)}
+    assert len([i for i in kept if i >= 0]) >= 0.9999 * docs.count()
+
+
 def test_quality_held_out(spark, sf):
     d = sf.replace("0.001", "0.1")
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
