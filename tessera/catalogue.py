@@ -311,6 +311,16 @@ def device_describe(spark, sf_dir):
     return devices.describe(device_rows(spark, sf_dir).where("ordinal < 50"))
 
 
+#: Devices in one description of device_describe_all at most, as ordinals are unique.
+DESCRIBED = 1000
+
+
+@query(f"with {_DEV} select (ordinal // {DESCRIBED})::bigint block, string_agg(backend||':'||name||' ('||type||', '||units||' CUs, '||(memory>>20)||' MB)', chr(10) order by ordinal) description from d group by 1")
+def device_describe_all(spark, sf_dir):
+    """Every device; in order of block, the descriptions are the one of all devices."""
+    return devices.describe(device_rows(spark, sf_dir).withColumn("block", F.floor(F.col("ordinal") / DESCRIBED)), "block")
+
+
 @query("select string_agg(n_name||': region '||n_regionkey||' is away', chr(10) order by n_nationkey) description from nation where n_regionkey <> 1")
 def device_describe_unavailable(spark, sf_dir):
     rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("backend"), (F.col("n_regionkey") == 1).alias("available"), F.format_string("region %d is away", "n_regionkey").alias("reason"))

@@ -40,12 +40,13 @@ def best(devices: DataFrame, *by: str) -> DataFrame:
     return rows.select("d.*")
 
 
-def describe(devices: DataFrame) -> DataFrame:
-    """One row, one line for each device in order of ``ordinal``; a message if there is none."""
+def describe(devices: DataFrame, *by: str) -> DataFrame:
+    """One row (for each ``by``), one line for each device in order of ``ordinal``; without ``by`` a message if there is
+    none."""
     line = F.format_string("%s:%s (%s, %d CUs, %d MB)", "backend", "name", "type", "units", F.shiftright("memory", 20))
-    lines = devices.select("ordinal", line.alias("line"))
-    joined = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n").alias("description"))
-    return joined.select(F.when(F.col("description") == "", "no devices").otherwise(F.col("description")).alias("description"))
+    lines = devices.select(*by, "ordinal", line.alias("line"))
+    joined = lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n").alias("description"))
+    return joined.select(*by, F.when(F.col("description") == "", "no devices").otherwise(F.col("description")).alias("description"))
 
 
 def describe_unavailable(backends: DataFrame) -> DataFrame:

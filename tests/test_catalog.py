@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalogue
 from tessera.operators import devices, network, ordering, tasks
 from tessera.sources import files, objects
 from tessera.streaming import telemetry
@@ -30,6 +31,16 @@ def test_ranking(spark):
     assert devices.describe(df.where("ordinal = 3")).first().description == "OPENCL:n (DISCRETE_GPU, 20 CUs, 4096 MB)"
 
 
+def test_every_device_is_described(spark, sf):
+    sf = sf.replace("0.001", "0.1")
+    got = catalogue.QUERIES["device_describe_all"](spark, sf).orderBy("block").collect()
+    rows = catalogue.device_rows(spark, sf)
+    assert len(got) == 20 and max(r.description.count("\n") + 1 for r in got) == catalogue.DESCRIBED
+    assert "\n".join(r.description for r in got) == devices.describe(rows).first().description
+    assert sum(r.description.count("\n") + 1 for r in got) == rows.count() == 20000
+    assert devices.describe(rows.limit(0), "type").collect() == []
+
+
 def test_hops(spark):
     rows = [(1, "a", "x", 5, 100), (2, "a", "x", 7, 200), (3, "a", "y", 3, 50), (4, "b", "x", 1, 700), (5, "a", "x", 9, 200)]
     hops = spark.createDataFrame(rows, "ordinal int, dst string, via string, distance long, s long").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
