@@ -472,6 +472,12 @@ def ip_sort_top(spark, sf_dir):
     return ordering.top(rows, ordering.comparator(ordering.ip_keys(), "DISTANCE", "-PING_SCORE", "IP"), 50).select("s_suppkey", "position")
 
 
+@query("select s_suppkey, row_number() over (order by s_nationkey, s_acctbal desc, s_suppkey) as position from supplier")
+def ip_sort(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("ip"), F.col("s_nationkey").alias("distance"), F.col("s_acctbal").alias("ping_score"))
+    return ordering.placed(rows, ordering.comparator(ordering.ip_keys(), "DISTANCE", "-PING_SCORE", "IP")).select("s_suppkey", "position")
+
+
 @query("select l_partkey, 1 + (select count(*) from lineitem) - sum(n) over (order by l_partkey desc) first_rank, n from (select l_partkey, count(*) n from lineitem group by 1)".replace("1 + (select count(*) from lineitem) - sum(n) over (order by l_partkey desc) first_rank", "(1 + (select count(*) from lineitem) - sum(n) over (order by l_partkey desc))::bigint first_rank"))
 def merge_sort_runs(spark, sf_dir):
     return ordering.global_ranks(read(spark, sf_dir, "lineitem").select("l_partkey"), "l_partkey")

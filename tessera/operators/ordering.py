@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.objects import written
+
 from .network import cpu_score, speed
 
 _bench = lambda name: F.get_json_object("benchmarks", f"$.CPU.Benchmarks['{name}']").cast("double")
@@ -59,6 +61,23 @@ def ranked(df: DataFrame, orders: list[Column], *by: str) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*orders)).cast("int"))
 
 
+def placed(df: DataFrame, orders: list[Column]) -> DataFrame:
+    """Position of each row (from 1) among all rows.
+
+    Rows are dealt by ranges of the whole order; positions are counted within a range and shifted by the ranges before,
+    so no task sees all rows. The ranges are written first, as other bounds may be drawn when they are computed again.
+    """
+    ranges = written(df.repartitionByRange(*orders).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes, before, start = ranges.groupBy("_range").count().collect(), {}, 0
+    for k, n in sorted(sizes):
+        before[k], start = start, start + n
+    if not before:
+        return df.withColumn("position", F.lit(1).cast("long"))
+    shift = F.element_at(F.create_map(*[F.lit(x) for k, s in before.items() for x in (k, s)]), F.col("_range"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*orders))
+    return ranges.withColumn("position", (shift + own).cast("long")).drop("_range")
+
+
 def range_sort(df: DataFrame, *keys: str) -> DataFrame:
     """A global ascending sort: one range exchange, then every partition sorts its own range."""
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)

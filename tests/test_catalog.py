@@ -69,6 +69,21 @@ def test_sorts(spark):
     assert ordering.global_ranks(df.limit(0), "k").collect() == []
 
 
+def test_every_address_has_a_position(spark, sf):
+    for scale, n in (("0.01", 100), ("0.1", 1000)):
+        d = sf.replace("0.001", scale)
+        rows = catalogue.read(spark, d, "supplier").collect()
+        want = [r.s_suppkey for r in sorted(rows, key=lambda r: (r.s_nationkey, -r.s_acctbal, r.s_suppkey))]
+        got = catalogue.QUERIES["ip_sort"](spark, d).orderBy("position").collect()
+        assert len(got) == n and [tuple(r) for r in got] == [(k, i + 1) for i, k in enumerate(want)]
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("k"))
+    for orders in ([F.col("k").desc(), F.col("id").asc()], [F.col("k").asc()]):
+        got = ordering.placed(df, orders).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(1, 501)) and {r.id for r in got} == set(range(500))
+    assert [r.k for r in got] == sorted(r.k for r in got)
+    assert ordering.placed(df.limit(0), orders).collect() == []
+
+
 def test_levels(spark):
     graph = tasks.TaskGraph().define("a").define("b", "a").define("c", "a", "b", "a").define("d", "gone").depend("d", "c")
     assert {r.name: r.level for r in tasks.levels(graph.frame(spark)).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
