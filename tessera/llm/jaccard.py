@@ -259,11 +259,14 @@ class SignatureTree:
 
 
 def link_blocks(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarray]], num: int, den: int) -> DataFrame:
-    """Links (a, b) found in blocks. members: leader, block, rep, comp, payload; to_sets makes sets of payloads."""
+    """Links (a, b) found in blocks. members: leader, block, rep, comp, payload; to_sets makes sets of payloads.
 
-    def found_in(rows: dict[int, tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-        ids = sorted(rows)
-        sets = [rows[i][1] for i in ids]
+    A rep may have several sets; it has the links of each.
+    """
+
+    def found_in(rows: dict[int, tuple[int, list[np.ndarray]]]) -> list[tuple[int, int]]:
+        ids = [i for i in sorted(rows) for _ in rows[i][1]]
+        sets = [x for i in sorted(rows) for x in rows[i][1]]
         some = [k for k, x in enumerate(sets) if len(x)]
         comp = np.array([rows[ids[k]][0] for k in some])
         if len(some) > FAN:
@@ -285,7 +288,9 @@ def link_blocks(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarra
                 if (leader, block) != key:
                     out += found_in(rows) if len(rows) > 1 else []
                     key, rows = (leader, block), {}
-                rows[rep] = comp, own
+                of = rows.setdefault(rep, (comp, []))[1]
+                if not any(np.array_equal(own, x) for x in of):
+                    of.append(own)
             yield table(out)
         yield table(found_in(rows) if len(rows) > 1 else [])
 
@@ -362,6 +367,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int
 
     found = link_groups(pairs, members, lambda texts: sets_of(pa.array(texts, pa.string()), k), num, den, block)
     result = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
+    key = F.struct("d1", "d2", "n")
+    several = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id"), "several")
+    if several.limit(1).count():  # the classes of one doc_id are one component
+        own = result.join(several, "doc_id", "left_semi").where("rep is not null")
+        least = stored(own.groupBy("doc_id").agg(F.min("rep").alias("least")), "least")
+        edges = own.join(least, "doc_id").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+        found = stored(connected(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "components")
+        result = result.join(least, "doc_id", "left").withColumn("rep", F.coalesce("rep", "least"))
     result = result.join(found.withColumnsRenamed({"id": "rep", "component": "c"}), "rep", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id"))
 

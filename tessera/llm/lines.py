@@ -161,12 +161,14 @@ def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLO
 
         def cut(it):
             for batch in it:
-                rows = []
+                lines = []
                 for text, wants in zip(*(c.to_pylist() for c in batch.columns)):
-                    parts = text.split("\n")
-                    for w in wants:
-                        line = parts[w["line"]].strip(" \t\n\r\v\f")
-                        rows += [(p["leader"], p["block"], w["rep"], w["comp"], line) for p in w["places"]]
+                    parts = text.split("\n") if text else []
+                    lines += [(parts[w["line"]].strip(" \t\n\r\v\f"), w) for w in wants if w["line"] < len(parts)]
+                data, off = utf8(pa.array([x for x, _ in lines], pa.string()))
+                # another text of the same doc_id has other lines at these numbers
+                ids = span_hashes(data, off[:-1], off[1:]).view(np.int64).tolist()
+                rows = [(p["leader"], p["block"], w["rep"], w["comp"], line) for (line, w), i in zip(lines, ids) if i == w["rep"] for p in w["places"]]
                 for a in range(0, len(rows), 2000):
                     part = list(zip(*rows[a : a + 2000]))
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in part[:4]), pa.array(part[4], pa.string())], names=["leader", "block", "rep", "comp", "payload"])

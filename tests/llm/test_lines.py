@@ -106,6 +106,15 @@ def test_documents(spark, sf):
     assert sum(got[i].text != want[i] for i in want) <= 0.01 * len(want)
 
 
+def test_texts_that_share_an_id(spark):
+    r = random.Random(6)
+    a, b = (" ".join(f"w{r.randint(0, 10**6)}" for _ in range(30)) for _ in range(2))
+    docs = [(1, "first\n\n" + a), (1, "short"), (1, None), (2, b), (2, "other one"), (3, a + "."), (4, b + ".")]
+    for rows in (docs, docs[::-1]):
+        got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((x.doc_id, x.n_lines, x.n_removed) for x in got) == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 1)]
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "\n \n"), (4, "Hi\nHi\nhi"), (5, "Hi"), (6, "a longer line of text\n\nHi"), (7, "a longer line of text."), (8, "long " * 40000), (9, "x\n" * 5000)]
     df = spark.createDataFrame([(i, t, 3, "z") for i, t in docs] + [(None, "Hi", 3, "z")], "doc_id long, text string, n_lines int, keep string")

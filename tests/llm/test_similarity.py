@@ -93,6 +93,16 @@ def test_groups_that_are_split(spark, seed):
     assert got(jaccard.join(df, 4, 85, 100, block=16)) == brute(docs, 4, 85, 100)
 
 
+def test_texts_that_share_an_id_link_as_one_document(spark):
+    r = random.Random(5)
+    a, b, c, d = (" ".join(f"w{r.randint(0, 10**6)}" for _ in range(80)) for _ in range(4))
+    docs = [(1, a), (3, b), (3, c), (5, b + " x"), (6, c + " y"), (7, a), (7, d), (8, d + " z"), (9, ""), (9, c), (9, c), (10, "alone"), (11, None)]
+    want = {1: 1, 3: 3, 5: 3, 6: 3, 7: 1, 8: 1, 9: 3, 10: 10, 11: 11}
+    for rows in (docs, docs[::-1]):
+        found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+        assert sorted((x.doc_id, x.component_id) for x in found) == [(i, want[i]) for i, _ in docs]
+
+
 def test_join_edges(spark):
     long = " ".join(f"x{i}" for i in range(60000))
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO\n"), (6, "one"), (7, "É é"), (8, "é É"), (9, long), (10, long + " end"), (11, "a b c d e f"), (12, "a b c d e f"), (13, "\x1c\xa0 x")]
