@@ -24,7 +24,7 @@ BUCKETS = 1 << 15
 #: Documents of each language that the n-gram counts are fitted on, in the mean: those whose hash of doc_id is below a
 #: threshold that the language's count gives (all, if there are fewer).
 FIT_DOCS = 4000
-#: Languages at most; with the buckets it bounds the model.
+#: Languages at most, or fit() raises an error; with the buckets it bounds the model.
 MAX_LANGUAGES = 200
 SMOOTHING = 0.5
 #: Of log(n-grams), for each language after the first. Above BIC's 1/2, as overlapping n-grams aren't independent.
@@ -103,9 +103,14 @@ def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dic
 
 
 def fit(docs: DataFrame, usable: Column, per_language: int = FIT_DOCS) -> Model | None:
-    """n-gram likelihoods of each language from usable rows with a lang. None if there are no such rows."""
+    """n-gram likelihoods of each language from usable rows with a lang. None if there are no such rows.
+
+    More than MAX_LANGUAGES languages raise ValueError: without the rarer ones their documents would get wrong labels.
+    """
     rows = docs.where(usable & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"documents have more than MAX_LANGUAGES = {MAX_LANGUAGES} languages")
     if not sizes:
         return None
     languages = sorted(sizes)

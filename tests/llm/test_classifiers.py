@@ -45,6 +45,15 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in language.predict_documents(no_lang).collect()} == {"und"}
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {k} {i}", k) for i, k in enumerate(["aa", "bb", "cc"] * 10)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    assert language.fit(docs, docs.doc_id >= 0).languages == ["aa", "bb", "cc"]
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="MAX_LANGUAGES = 2"):
+        language.fit(docs, docs.doc_id >= 0)
+
+
 def test_keep_known_rejects_foreign_and_random_letters(spark, sf):
     docs = table(spark, sf.replace("0.001", "0.1"), "documents")
     letters = random.Random(1)
