@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import slices, utf8
 
 OPEN, CLOSE = "<turn>", "</turn>"
 _ESCAPES = {"\\": "\\\\", OPEN: "\\o", CLOSE: "\\c"}
@@ -73,13 +73,12 @@ def format_conversations(rows: DataFrame, partitions: int | None = None) -> Data
     consecutive parts of whole turns: no task holds more than a batch of it. loss_start and loss_end are byte offsets in
     the part. The parts of a conversation follow each other in one partition.
     """
-    small_batches(rows.sparkSession)
     keyed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     dealt = keyed.repartition(partitions, "conv_id") if partitions else keyed.repartition("conv_id")
 
     def run(it):
         last, part = object(), 0
-        for batch in it:
+        for batch in slices(it):
             if not batch.num_rows:
                 continue
             data, at, text_from, text_to = assemble(batch.column(1), batch.column(2))
@@ -129,7 +128,7 @@ def read_back(parts: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-        for batch in it:
+        for batch in slices(it):
             done = []
             for conv, data, starts, stops in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if state is None or conv != now:

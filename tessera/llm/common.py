@@ -2,51 +2,85 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch that goes to Python. Texts are long, so Spark's default of 10,000 rows would be too much.
-BATCH_ROWS = 512
+#: Rows and bytes that Python works on at once. Texts are long, so Spark's batches would be too much.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the
+    session is a local one (tests). On a cluster it has to be set, or the files of one machine would be missed elsewhere.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most BATCH_ROWS rows and BATCH_BYTES bytes; a longer row goes alone.
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it again: cuts the lineage, survives lost executors."""
+    Spark bounds what it sends in bytes (spark.sql.execution.arrow.maxBytesPerBatch); numpy work needs many times the
+    bytes of its texts, so it is done by slices, whatever the session's settings.
+    """
+    for batch in batches:
+        a = 0
+        while a < batch.num_rows:
+            part = batch.slice(a, BATCH_ROWS)
+            while part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            a += part.num_rows
+
+
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet below the shared folder and read it again: cuts the lineage, survives lost executors. Also
+    gives its path, for erase()."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """As kept(), for tables that the result still reads; the folder's owner removes them."""
+    return kept(df, label)[0]
+
+
+def erase(spark: SparkSession, *paths: str) -> None:
+    """Remove tables of kept() that nothing needs any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-def drop_stored(df: DataFrame) -> None:
-    """Remove a table of stored() that nothing needs any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like ``names`` that aren't among the taken ones (in any case), for helper columns."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
+def texts_of(batch: pa.RecordBatch, column: int | str) -> list[str]:
     """A text column as Python strings; null becomes empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import erase, kept
 
 
 def connected(edges: DataFrame, first: str = "a", second: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def connected(edges: DataFrame, first: str = "a", second: str = "b", most_rounds
     kind = edges.schema[first].dataType.simpleString()
     pairs = edges.select(F.col(first).cast(kind).alias("a"), F.col(second).cast(kind).alias("b")).where("a is not null and b is not null")
     loops = pairs.where("a = b").select("a").distinct()
-    now = stored(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now, path = kept(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _mark(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,10 +26,10 @@ def connected(edges: DataFrame, first: str = "a", second: str = "b", most_rounds
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        after, after_path = kept(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         mark = _mark(after)
-        drop_stored(now)
-        now = after
+        erase(edges.sparkSession, path)
+        now, path = after, after_path
         if mark == seen:
             break
         seen = mark

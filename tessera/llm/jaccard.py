@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, shingle_hashes, small_batches, span_hashes, stored, utf8, word_spans
+from .common import ASCII_SPACE, LOWER, shingle_hashes, slices, span_hashes, stored, utf8, word_spans
 from .components import connected, stars
 
 BLOCK = 1024
@@ -62,7 +62,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
     def count(it):
         total = np.zeros(size, np.uint32)
-        for batch in it:
+        for batch in slices(it):
             word, _ = words_of(batch.column(0))
             total += np.bincount((word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
         if total.any():
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     levels = sketch(docs)
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             word, row = words_of(batch.column(1))
             h, of, level = shingle_hashes(word, row, batch.num_rows, k, levels[(word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
             cut = np.searchsorted(of, np.arange(batch.num_rows + 1))
@@ -281,7 +281,7 @@ def link_blocks(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarra
         def table(out):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-        for batch in it:
+        for batch in slices(it):
             out: list[tuple[int, int]] = []
             sets = to_sets(batch.column(4).to_pylist())
             for leader, block, rep, comp, own in zip(*(c.to_pylist() for c in batch.columns[:4]), sets):
@@ -353,7 +353,6 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int
     link with nothing; a text of fewer than k words is one shingle. A row with a null doc_id has a null component. Rows
     that share a doc_id count as one document with the links of each.
     """
-    small_batches(docs.sparkSession)
     rows = stored(signatures(docs, k, num, den), "shingles")
     some = rows.where("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")

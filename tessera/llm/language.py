@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8, with_fields
+from .common import slices, utf8, with_fields
 
 BUCKETS = 1 << 15
 #: Documents of each language that the n-gram counts are fitted on, in the mean: those whose hash of doc_id is below a
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = FIT_DOCS) -> Model
 
     def count(it):
         total = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in it:
+        for batch in slices(it):
             data, off = utf8(batch.column(1))
             for k, lang in enumerate(batch.column(0).to_pylist()):
                 total[index[lang]] += np.bincount(grams(data[off[k] : off[k + 1]]), minlength=BUCKETS)
@@ -140,13 +140,12 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, nam
 
     A text that is null or has no letter, or any text without a model, gets ``und``, 0, an empty mixture and 0.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select([f"`{c}`" for c in docs.columns if c not in names])
     kept = docs.columns
     text_at = kept.index("text")
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             column = batch.column(text_at)
             data, off = utf8(column)
             best, scores, mixes, gains = [], [], [], []

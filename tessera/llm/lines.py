@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, mix, small_batches, span_hashes, stored, utf8, with_fields
+from .common import ASCII_SPACE, mix, slices, span_hashes, stored, utf8, with_fields
 from .jaccard import BLOCK, leaders, link_groups
 
 #: Characters in a shingle; a shorter line is one shingle.
@@ -108,7 +108,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0), id (hash) of all lines that aren't blank."""
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             data, off = utf8(batch.column(1))
             start, end, row, number = line_spans(data, off)
             ids = span_hashes(data, start, end).view(np.int64)
@@ -127,7 +127,7 @@ def band_postings(docs: DataFrame) -> DataFrame:
 
     def run(it):
         seen: set[int] = set()
-        for batch in it:
+        for batch in slices(it):
             data, off = utf8(batch.column(1))
             start, end, _, _ = line_spans(data, off)
             ids = span_hashes(data, start, end).view(np.int64)
@@ -148,7 +148,6 @@ def band_postings(docs: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
     """doc_id, keep (sorted numbers of the lines that stay) for every document that keeps a line that isn't blank."""
-    small_batches(docs.sparkSession)
     named = docs.where("doc_id is not null")
     lines = stored(line_hashes(named), "lines")
     classes = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first")), "classes")
@@ -160,7 +159,7 @@ def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLO
         joined = texts.join(wanted.groupBy("doc_id").agg(F.collect_list("want").alias("wants")), "doc_id").select("text", "wants")
 
         def cut(it):
-            for batch in it:
+            for batch in slices(it):
                 lines = []
                 for text, wants in zip(*(c.to_pylist() for c in batch.columns)):
                     parts = text.split("\n") if text else []
@@ -186,7 +185,6 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BL
     Both counts leave out blank lines, which all stay. A null text stays null. Rows with a null doc_id stay as they are
     and take no part; rows that share a doc_id keep the same line numbers. Columns named like the counts are replaced.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select([f"`{c}`" for c in docs.columns if c not in counts])
     names = docs.columns
     text_at = names.index("text")
@@ -194,7 +192,7 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BL
     joined = docs.join(keep, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*[f"`{c}`" for c in names], F.when(F.col("doc_id").isNotNull(), F.coalesce("_keep", F.array().cast("array<int>"))).alias("_keep"))
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             texts, n, gone = [], [], []
             for text, keep in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()):
                 lines = text.split("\n") if text else []

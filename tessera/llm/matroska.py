@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, with_fields
+from .common import slices, with_fields
 
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -298,10 +298,9 @@ def store_text(text: str | None) -> bytes:
 
 def store_texts(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, n_bytes of the text in UTF-8 and its media file, for each row; null text is taken as empty."""
-    small_batches(docs.sparkSession)
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(store_text, texts), pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media"])
@@ -315,14 +314,13 @@ def packet_table(media: DataFrame, column: str = "media") -> DataFrame:
     A file that can't be parsed gives one row with a null packet and the reason; null or a file without packets gives no
     row. Other columns are repeated for each packet.
     """
-    small_batches(media.sparkSession)
     kept = media.drop(column, "packet", "error")
     source = media.select([f"`{c}`" for c in kept.columns] + [f"`{column}`"])
     names, rest_names = [x.split()[0] for x in PACKETS.split(", ")], kept.columns
     out = with_fields(kept.schema, f"packet struct<{PACKETS.replace(' ', ':').replace(',:', ',')}>, error string")
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             at, packets, errors = [], [], []
             for k, data in enumerate(batch.column(batch.num_columns - 1)):
                 if not data.is_valid:
@@ -353,11 +351,10 @@ def feature(media: Media, payload: bytes) -> str:
 
 def read_media(stored: DataFrame) -> DataFrame:
     """The digests of op2 from stored files (doc_id, n_bytes, media): every value comes from parsing the file."""
-    small_batches(stored.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             rows = []
             for data in batch.column(2).to_pylist():
                 media = parse(data)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import small_batches, stored
+from .common import slices, stored
 
 BLOCK, LANES = 4096, 2048
 MAX_ID = (1 << 16) - 1
@@ -313,7 +313,6 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     empty; rows with a null doc_id come first, rows of one doc_id in the order of their texts.
     """
     path = path or tokens.byte_bpe()
-    small_batches(docs.sparkSession)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(it):
@@ -325,7 +324,7 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
                 [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([size], pa.int64()), pa.array([write_segment(names, ids)], pa.binary())], names=["shard", "segment", "n_tokens", "content"]
             )
 
-        for batch in it:
+        for batch in slices(it):
             for doc, own in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()])):
                 if size and size + len(own) // 4 + 1 > SEGMENT_IDS:
                     yield row()

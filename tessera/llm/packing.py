@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import small_batches, stored, with_fields
+from .common import slices, stored, with_fields
 
 CAPACITY = 2048
 END_ID = 0
@@ -40,13 +40,12 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document's ids (null text: empty) with ``end_id`` appended, and each piece's crc32."""
     path = path or tokens.byte_bpe()
-    small_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(it):
         encode = tokens.encoder(path).encode
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in it:
+        for batch in slices(it):
             out: list[list] = [[] for _ in names]
             for doc, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()])):
                 ids = memoryview(ids + tail)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, mix, small_batches, span_hashes, utf8, with_fields, word_spans
+from .common import ASCII_SPACE, mix, slices, span_hashes, utf8, with_fields, word_spans
 from .language import held_out
 
 BITS = 18
@@ -74,7 +74,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> np.nda
     A doc_id with several labels takes part with each. Without labelled documents every score is 0.5. The sampled ids
     (2 * per_class in the mean) are the only rows that are broadcast, and their features the only ones collected.
     """
-    small_batches(docs.sparkSession)
     usable = labels.where(~held_out(3, 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_label"))
     sizes = {r[0]: r[1] for r in usable.groupBy("_label").count().collect()}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
@@ -83,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> np.nda
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", "text")
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             index, row, words = features(*utf8(batch.column(2)))
             order = np.lexsort((index, row))
             cut = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
@@ -107,13 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> np.nda
 def score(docs: DataFrame, weights: np.ndarray, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Add the score and the predicted class to docs, under ``names``; columns of these names are replaced, all others
     stay. Null text counts as empty."""
-    small_batches(docs.sparkSession)
     docs = docs.select([f"`{c}`" for c in docs.columns if c not in names])
     kept = docs.columns
     text_at = kept.index("text")
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             index, row, words = features(*utf8(batch.column(text_at)))
             total = np.bincount(row, weights[index].astype(float), batch.num_rows) / np.maximum(words, 1) + weights[-1]
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
