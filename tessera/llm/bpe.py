@@ -8,9 +8,10 @@ import re
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bpe_automaton
-from .common import small_batches, with_fields
+from .common import slices, texts_of, with_fields
 
 #: The word-level tokenizer's pre-split pattern (fixed value) with its classes spelled out for lower-case usual characters.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -26,63 +27,62 @@ def word_bpe() -> str:
 
 
 class Codec:
-    """Pre-splits texts as the tokenizer file says and runs its words through the automaton.
+    """Pre-splits texts as the tokenizer file says and runs their distinct words through the automaton, all in step.
 
-    A word's ids, their decimal string and its decoded labels are kept for up to 300,000 words. Special tokens' strings
-    in a text become their ids, as the library does it by default.
+    Of up to ``limit`` words the number of ids, their decimal string and the decoded labels are kept; a full table is
+    emptied before the next batch. Special tokens' strings in a text become their ids, as the library does it by default.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.automaton = bpe_automaton.load(path)
+        self.automaton, self.limit = bpe_automaton.load(path), limit
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.automaton.labels.update({i: t for t, i in self.special.items()})
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.unmap = {c: b for b, c in bpe_automaton.byte_alphabet().items()}
-        self.known: dict[str, tuple[str, str, int]] = {}
-
-    def words(self, text: str) -> list[bytes]:
-        """The pre-split words of a text without special tokens."""
-        if not UNUSUAL.search(text):
-            return [w.encode() for w in WORDS.findall(text.lower())]
-        split = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))
-        return [bytes(self.unmap[c] for c in w) for w, _ in split if w]
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.at_special.split(text) if "<|" in text else [text]:
+        self.known: dict[str | bytes | int, tuple[int, str, str]] = {}
+
+    def words(self, text: str) -> list[str | bytes | int]:
+        """The pre-split words of a text, with the ids of special tokens between them."""
+        if not UNUSUAL.search(text) and "<|" not in text:
+            return WORDS.findall(text.lower())
+        out: list[str | bytes | int] = []
+        for part in self.at_special.split(text):
             if part in self.special:
                 out.append(self.special[part])
             else:
-                for w in self.words(part):
-                    out.extend(self.automaton.encode_word(w))
+                split = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))
+                out += [bytes(self.unmap[c] for c in w) for w, _ in split if w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.automaton.decode(ids)
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, decimal ids joined by spaces, decoded text."""
-        if UNUSUAL.search(text) or "<|" in text:
-            ids = self.encode(text)
-            return len(ids), " ".join(map(str, ids)), self.decode(ids)
-        words, known = WORDS.findall(text.lower()), self.known
-        if len(known) > 300_000:
-            known.clear()
-        found = list(map(known.get, words))
-        if None in found:
-            for w in {w for w, x in zip(words, found) if x is None}:
-                ids = self.automaton.encode_word(w.encode())
-                known[w] = " ".join(map(str, ids)), self.decode(ids), len(ids)
-            found = list(map(known.__getitem__, words))
-        if not words:
-            return 0, "", ""
-        ids, labels, n = zip(*found)
-        return sum(n), " ".join(ids), " ".join(labels)
+    def learn(self, words: set[str | bytes | int]) -> None:
+        plain = [w for w in words if not isinstance(w, int)]
+        ids, off = self.automaton.encode([w.encode() if isinstance(w, str) else w for w in plain])
+        ids, off, label = ids.tolist(), off.tolist(), self.automaton.labels.__getitem__
+        for w, a, b in zip(plain, off, off[1:]):
+            self.known[w] = b - a, " ".join(map(str, ids[a:b])), " ".join(map(label, ids[a:b]))
+        for w in words.difference(plain):
+            self.known[w] = 1, str(w), label(w)
+
+    def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text its number of ids, the decimal ids and the decoded labels, each joined by one space."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        split = [self.words(t) for t in texts]
+        known = self.known
+        self.learn(set().union(*split).difference(known))
+        out = []
+        for words in split:
+            if words:
+                n, ids, labels = zip(*map(known.__getitem__, words))
+                out.append((sum(n), " ".join(ids), " ".join(labels)))
+            else:
+                out.append((0, "", ""))
+        return out
 
 
 _codecs: dict[str, Codec] = {}
@@ -97,19 +97,21 @@ def codec(path: str) -> Codec:
 def encode_texts(df: DataFrame, column: str = "text", path: str | None = None) -> DataFrame:
     """Add ids (array<int>) and decoded (string) of a text column; null text is taken as empty.
 
-    Columns of these names are replaced; all others stay.
+    Columns of these names are replaced (not the text's own: that is an error); all others stay. Equal rows give equal
+    rows, an empty table an empty one; the text column may be the only one.
     """
     path = path or word_bpe()
-    small_batches(df.sparkSession)
+    if column in ("ids", "decoded"):
+        raise ValueError(f"the text column can't be named {column}")
     kept = [c for c in df.columns if c not in ("ids", "decoded")]
-    kept_columns = [f"`{c}`" for c in kept]
+    kept_columns, text_at = [f"`{c}`" for c in kept], kept.index(column)
 
     def run(it):
         own = codec(path)
-        for batch in it:
-            ids = [own.encode(x or "") for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+        for batch in slices(it):
+            found = own.run(texts_of(batch, text_at))
             arrays = [batch.column(i) for i in range(len(kept))]
-            arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())]
+            arrays += [pa.array([[int(x) for x in ids.split()] for _, ids, _ in found], pa.list_(pa.int32())), pa.array([x for _, _, x in found], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "ids", "decoded"])
 
     fields = with_fields(df.select(kept_columns).schema, "ids array<int>, decoded string")
@@ -117,16 +119,16 @@ def encode_texts(df: DataFrame, column: str = "text", path: str | None = None) -
 
 
 def text_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """For each document: doc_id, n_tokens, sha256 of the decimal ids and of the decoded text."""
+    """For each row of docs (doc_id, text; more columns are ignored): doc_id, n_tokens, sha256 of the decimal ids and of the
+    decoded text. A null text is empty and has no tokens; a null doc_id stays null; repeated rows are repeated."""
     from hashlib import sha256
 
     path = path or word_bpe()
-    small_batches(docs.sparkSession)
 
     def run(it):
         own = codec(path)
-        for batch in it:
-            rows = [own.digest(x or "") for x in batch.column(1).to_pylist()]
+        for batch in slices(it):
+            rows = own.run(texts_of(batch, 1))
             columns = [
                 batch.column(0),
                 pa.array([r[0] for r in rows], pa.int64()),
@@ -135,4 +137,4 @@ def text_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, packing, tokens
+from tessera.llm import bpe, bpe_automaton, packing, tokens
 
 ODD = [
     "", " ", "\n\n  a", None, "It's  we'll\tgo\r\n  ", "naïve ÀÉ ß", "x" * 5000, "aé" * 300, "日本語 text", "İstanbul ǅ",
@@ -39,6 +39,68 @@ def test_automaton_equals_library(spark):
         assert got[i][1:] == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
 
 
+def merged(word, merges):
+    """BPE by its definition: merge after merge, from the left."""
+    parts = [*word[:-1], word[-1] + "</w>"]
+    for u, v in merges:
+        out = []
+        for x in parts:
+            if out and (out[-1], x) == (u, v) and out[-1] is not None:
+                out[-1:] = [u + v, None]  # the mark keeps a merged token from being merged again by this merge
+            else:
+                out.append(x)
+        parts = [x for x in out if x is not None]
+    return parts
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_automaton_of_random_merges(seed):
+    r = random.Random(seed)
+    base = ["a", "b", "a</w>", "b</w>"]
+    names, merges = list(base), []
+    for _ in range(40):
+        u, v = r.choice([x for x in names if not x.endswith("</w>")]), r.choice(names)
+        if u + v not in names:
+            names.append(u + v)
+            merges.append((u, v))
+    automaton = bpe_automaton.Automaton({x: i for i, x in enumerate(names)}, merges, "</w>")
+    words = ["".join(r.choices("ab", k=r.randint(1, 15))) for _ in range(300)] + [""]
+    ids, off = automaton.encode([w.encode() for w in words])
+    for w, a, b in zip(words, off, off[1:]):
+        assert [names[i] for i in ids[a:b]] == (merged(w, merges) if w else []), (w, merges)
+
+
+def test_tables_are_complete_and_do_not_grow():
+    automaton = bpe_automaton.load(bpe.word_bpe())
+    sizes = {k: len(v) for k, v in vars(automaton).items() if hasattr(v, "__len__")}
+    bytes_held = sum(v.nbytes for v in vars(automaton).values() if isinstance(v, np.ndarray))
+    tables = [v.copy() for v in vars(automaton).values() if isinstance(v, np.ndarray)]
+    r = np.random.default_rng(2)
+    words = [bytes(r.integers(97, 123, n).astype(np.uint8)) for n in r.integers(1, 12, 100_000)]
+    ids, off = automaton.encode(words)
+    assert "".join(automaton.labels[i] for i in ids[off[50] : off[51]]) == words[50].decode() + "</w>"
+    assert {k: len(v) for k, v in vars(automaton).items() if hasattr(v, "__len__")} == sizes and bytes_held < 150e6
+    assert all((a == b).all() for a, b in zip(tables, (v for v in vars(automaton).values() if isinstance(v, np.ndarray))))
+
+
+def test_automaton_refuses_two_ways_to_one_token():
+    with pytest.raises(ValueError):
+        bpe_automaton.Automaton({"a": 0, "aa": 1, "aaa": 2}, [("a", "aa"), ("aa", "a")], "</w>")
+
+
+def test_word_tokens_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a word"), (3, None), (4, "x" * 60000 + " " + "ab " * 50000), (5, ""), (5, ""), (6, " \n\t")], "doc_id long, text string")
+    got = sorted(bpe.text_digests(docs).collect(), key=lambda r: (r.doc_id or 0, r.n_tokens))
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["a word", "", "x" * 60000 + " " + "ab " * 50000, "", "", " \n\t"]
+    assert [r.doc_id for r in got] == [None, 3, 4, 5, 5, 6]
+    assert [r.n_tokens for r in got] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert bpe.text_digests(docs.limit(0)).collect() == [] and bpe.encode_texts(docs.limit(0)).collect() == []
+    small = bpe.Codec(bpe.word_bpe(), limit=5)
+    for t in ("one two three", "four five six seven", "eight nine", "one two"):
+        assert small.run([t])[0][0] == len(library.encode(t, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     r = random.Random(seed)
