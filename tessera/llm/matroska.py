@@ -7,16 +7,21 @@ block and cluster that it is in.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import slices, with_fields
+from .common import slices
 
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -142,7 +147,7 @@ def _size(data: bytes, at: int) -> tuple[int | None, int]:
 
 
 def _children(data: bytes, at: int, end: int, stop: set[int] | None = None):
-    """(id, body start, body end) of the elements in data[at:end]; with ``stop``, up to one of these ids."""
+    """(id, body start, body end, start) of the elements in data[at:end]; with ``stop``, up to one of these ids."""
     while at < end:
         ident, body = _ident(data, at)
         if stop and ident in stop:
@@ -154,13 +159,13 @@ def _children(data: bytes, at: int, end: int, stop: set[int] | None = None):
             to = end
             if ident == CLUSTER:
                 to = body
-                for _, _, to in _children(data, body, end, _TOP):
+                for _, _, to, _ in _children(data, body, end, _TOP):
                     pass
         else:
             to = body + size
         if to > end:
             raise MatroskaError(f"element {ident:x} at byte {at} goes beyond byte {end}")
-        yield ident, body, to
+        yield ident, body, to, at
         at = to
 
 
@@ -168,6 +173,18 @@ def _uint(data: bytes, at: int, to: int) -> int:
     return int.from_bytes(data[at:to], "big")
 
 
+def _int64(n: float, what: str) -> int:
+    """n rounded, if it is a number that a column of long can hold."""
+    if isinstance(n, float) and not math.isfinite(n) or not -(1 << 63) <= round(n) < 1 << 63:
+        raise MatroskaError(f"{what} is no 64-bit number")
+    return round(n)
+
+
+def _named(data: bytes, at: int, to: int) -> dict[int, tuple[int, int]]:
+    """Body start and end of the last element of each id."""
+    return {i: (a, t) for i, a, t, _ in _children(data, at, to)}
+
+
 def _float(data: bytes, at: int, to: int) -> float:
     return struct.unpack(">f" if to - at == 4 else ">d", data[at:to])[0] if to - at in (4, 8) else 0.0
 
@@ -212,11 +229,12 @@ def _frames(data: bytes, at: int, to: int, kind: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> Media:
+    """Everything that the tables hold. Bytes that aren't a readable file raise MatroskaError and nothing else."""
     media = Media()
     top = list(_children(data, 0, len(data)))
     if not top or top[0][0] != EBML:
         raise MatroskaError("no EBML header")
-    for ident, at, to in top:
+    for ident, at, to, _ in top:
         if ident == SEGMENT:
             _segment(media, data, at, to)
     return media
@@ -224,16 +242,16 @@ def parse(data: bytes) -> Media:
 
 def _segment(media: Media, data: bytes, base: int, end: int) -> None:
     defaults: dict[int, int] = {}
-    for ident, at, to in _children(data, base, end):
+    for ident, at, to, start in _children(data, base, end):
         if ident == INFO:
-            found = {i: (a, t) for i, a, t in _children(data, at, to)}
+            found = _named(data, at, to)
             media.scale = _uint(data, *found[TIMESTAMP_SCALE]) if TIMESTAMP_SCALE in found else 1_000_000
             if DURATION in found:
-                media.duration_ns = round(_float(data, *found[DURATION]) * media.scale)
+                media.duration_ns = _int64(_float(data, *found[DURATION]) * _int64(media.scale, "the timestamp scale"), "the duration")
         elif ident == TRACKS:
-            for _, a, t in (x for x in _children(data, at, to) if x[0] == TRACK_ENTRY):
-                got = {i: (x, y) for i, x, y in _children(data, a, t)}
-                audio = {i: (x, y) for i, x, y in _children(data, *got[AUDIO])} if AUDIO in got else {}
+            for _, a, t, _ in (x for x in _children(data, at, to) if x[0] == TRACK_ENTRY):
+                got = _named(data, a, t)
+                audio = _named(data, *got[AUDIO]) if AUDIO in got else {}
                 track = {"number": _uint(data, *got[TRACK_NUMBER]) if TRACK_NUMBER in got else 0, "type": _uint(data, *got[TRACK_TYPE]) if TRACK_TYPE in got else 0}
                 track["codec"] = data[slice(*got[CODEC])].decode("ascii", "replace") if CODEC in got else ""
                 track["rate"] = _float(data, *audio[RATE]) if RATE in audio else None
@@ -242,52 +260,77 @@ def _segment(media: Media, data: bytes, base: int, end: int) -> None:
                 if DEFAULT_DURATION in got:
                     defaults[track["number"]] = _uint(data, *got[DEFAULT_DURATION])
         elif ident == CUES:
-            for _, a, t in (x for x in _children(data, at, to) if x[0] == CUE_POINT):
+            for _, a, t, _ in (x for x in _children(data, at, to) if x[0] == CUE_POINT):
                 time, places = 0, []
-                for i, x, y in _children(data, a, t):
+                for i, x, y, _ in _children(data, a, t):
                     if i == CUE_TIME:
                         time = _uint(data, x, y)
                     elif i == CUE_POSITIONS:
-                        got = {i: _uint(data, a, b) for i, a, b in _children(data, x, y)}
-                        places.append((got.get(CUE_TRACK, 0), base + got.get(CUE_CLUSTER, 0)))
-                media.cues += [(time * media.scale, track, place) for track, place in places]
+                        got = {i: _uint(data, *place) for i, place in _named(data, x, y).items()}
+                        places.append((_track(got.get(CUE_TRACK, 0)), _int64(base + got.get(CUE_CLUSTER, 0), "a cue's position")))
+                media.cues += [(_int64(time * media.scale, "a cue's time"), track, place) for track, place in places]
         elif ident == CLUSTER:
+            media.clusters.append(start)
             _cluster(media, data, at, to, defaults)
 
 
+def _track(n: int | None) -> int:
+    if n is None or n >= 1 << 31:
+        raise MatroskaError("a track's number is too large")
+    return n
+
+
 def _cluster(media: Media, data: bytes, start: int, end: int, defaults: dict[int, int]) -> None:
-    at, time = start, 0
-    while data[at - 4 : at] != b"\x1f\x43\xb6\x75":
-        at -= 1
-    media.clusters.append(at - 4)
+    time = 0
     cluster, block = len(media.clusters) - 1, media.packets[-1][4] + 1 if media.packets else 0
-    for ident, at, to in _children(data, start, end):
+    for ident, at, to, _ in _children(data, start, end):
         key = True
         if ident == CLUSTER_TIME:
             time = _uint(data, at, to)
             continue
         if ident == BLOCK_GROUP:
-            inside = {i: (a, t) for i, a, t in _children(data, at, to)}
+            inside = _named(data, at, to)
             if BLOCK not in inside:
                 continue
             (at, to), key = inside[BLOCK], REFERENCE not in inside
         elif ident != SIMPLE_BLOCK:
             continue
         track, at = _size(data, at)
+        track = _track(track)
         if at + 3 > to:
             raise MatroskaError("a block is cut")
         relative, flags = struct.unpack_from(">hB", data, at)
         kind = flags >> 1 & 3
-        first = (time + relative) * media.scale
-        step = defaults.get(track, 0)
-        for k, (a, n) in enumerate(_frames(data, at + 3, to, kind)):
+        frames = _frames(data, at + 3, to, kind)
+        first, step = (time + relative) * media.scale, defaults.get(track, 0)
+        for n in (first, first + (len(frames) - 1) * step):
+            _int64(n, "a timestamp")
+        for k, (a, n) in enumerate(frames):
             media.packets.append((track, first + k * step, a, n, block, cluster, key if ident == BLOCK_GROUP else bool(flags & 0x80), LACES[kind]))
         block += 1
 
 
+def cue_rows(media: Media) -> list[tuple[int, int, int, int | None, int | None]]:
+    """time ns, track, byte of the cluster, and the number of that cluster and of its first packet of the track at or
+    after the time, counted over the file; None where the cue points to no cluster, or to none with such a packet."""
+    number = {at: k for k, at in enumerate(media.clusters)}
+    wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    aimed = {(number.get(place), track) for _, track, place in media.cues}
+    for k, (track, time, _, _, _, cluster, *_) in enumerate(media.packets):
+        if (cluster, track) in aimed:
+            wanted.setdefault((cluster, track), []).append((time, k))
+    out = []
+    for time, track, place in media.cues:
+        cluster = number.get(place)
+        packet = min((k for t, k in wanted.get((cluster, track), ()) if t >= time), default=None)
+        out.append((time, track, place, cluster, packet))
+    return out
+
+
 # ---- columns -----------------------------------------------------------------------------------------------------
 
 PACKETS = "track int, timestamp_ns long, first_byte long, n_bytes long, block int, cluster int, keyframe boolean, lacing string"
+CUE_ROWS = "time_ns long, track int, cluster_byte long, cluster int, packet long"
 
 
 def store_text(text: str | None) -> bytes:
@@ -297,7 +340,10 @@ def store_text(text: str | None) -> bytes:
 
 
 def store_texts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, n_bytes of the text in UTF-8 and its media file, for each row; null text is taken as empty."""
+    """doc_id, n_bytes of the text in UTF-8 and its media file, for each row of docs (more columns are ignored).
+
+    Null text is taken as empty, a null doc_id stays null, repeated rows are repeated, an empty table gives an empty one.
+    """
 
     def run(it):
         for batch in slices(it):
@@ -305,63 +351,84 @@ def store_texts(docs: DataFrame, column: str = "text") -> DataFrame:
             arrays = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(store_text, texts), pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), f"`{column}`").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def packet_table(media: DataFrame, column: str = "media") -> DataFrame:
-    """Replace a binary column by ``packet`` (one row for each packet) and ``error``.
-
-    A file that can't be parsed gives one row with a null packet and the reason; null or a file without packets gives no
-    row. Other columns are repeated for each packet.
-    """
-    kept = media.drop(column, "packet", "error")
-    source = media.select([f"`{c}`" for c in kept.columns] + [f"`{column}`"])
-    names, rest_names = [x.split()[0] for x in PACKETS.split(", ")], kept.columns
-    out = with_fields(kept.schema, f"packet struct<{PACKETS.replace(' ', ':').replace(',:', ',')}>, error string")
+def _table(media: DataFrame, column: str, name: str, fields: str, rows_of: Callable[[Media], list[tuple]]) -> DataFrame:
+    """One row for each of a file's rows, as the struct ``name``, beside the other columns and ``error``."""
+    rest = [c for c in media.columns if c not in (column, name, "error")]
+    source = media.select([f"`{c}`" for c in [*rest, column]])
+    row_type = StructType.fromDDL(fields)
+    kind, names = to_arrow_type(row_type), row_type.names
+    out = StructType([*source.schema.fields[:-1], StructField(name, row_type), StructField("error", StringType())])
 
     def run(it):
         for batch in slices(it):
-            at, packets, errors = [], [], []
-            for k, data in enumerate(batch.column(batch.num_columns - 1)):
+            at, found, errors = [], [], []
+            for k, data in enumerate(batch.column(len(rest))):
                 if not data.is_valid:
                     continue
                 try:
-                    found, error = [dict(zip(names, p)) for p in parse(data.as_py()).packets], None
+                    own, error = [dict(zip(names, x)) for x in rows_of(parse(data.as_py()))], None
                 except MatroskaError as e:
-                    found, error = [None], str(e)
-                at += [k] * len(found)
-                packets += found
-                errors += [error] * len(found)
-            rest = batch.select(list(range(batch.num_columns - 1))).take(pa.array(at, pa.int64()))
-            kind = pa.struct([("track", pa.int32()), ("timestamp_ns", pa.int64()), ("first_byte", pa.int64()), ("n_bytes", pa.int64()), ("block", pa.int32()), ("cluster", pa.int32()), ("keyframe", pa.bool_()), ("lacing", pa.string())])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(packets, kind), pa.array(errors, pa.string())], names=[*rest_names, "packet", "error"])
+                    own, error = [None], str(e)
+                at += [k] * len(own)
+                found += own
+                errors += [error] * len(own)
+            kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(rest))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind), pa.array(errors, pa.string())], names=[*rest, name, "error"])
 
     return source.mapInArrow(run, out)
 
 
+def packet_table(media: DataFrame, column: str = "media") -> DataFrame:
+    """Replace a binary column by ``packet`` (one row for each packet) and ``error``.
+
+    A file that can't be parsed gives one row with a null packet and the reason; null or a file without packets gives no
+    row, an empty table none. Other columns are repeated for each packet, but for those named packet or error, which are
+    replaced. Repeated rows are repeated.
+    """
+    return _table(media, column, "packet", PACKETS, lambda found: found.packets)
+
+
+def cue_table(media: DataFrame, column: str = "media") -> DataFrame:
+    """As packet_table(), with ``cue``: one row for each position of a cue point, and the packet it leads to."""
+    return _table(media, column, "cue", CUE_ROWS, cue_rows)
+
+
 def feature(media: Media, payload: bytes) -> str:
     """Counts of the packet table, its checksum, and whole-number features of the samples."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
     table = zlib.crc32(np.array([p[:6] for p in media.packets], np.int64).tobytes())
+    cues = zlib.crc32(np.array([[-1 if v is None else v for v in c] for c in cue_rows(media)], np.int64).tobytes())
     return (
         f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};duration_ns={media.duration_ns};"
-        f"table={table:08x};sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero(np.diff(x >= 128))};peak={x.max()}"
+        f"table={table:08x};cue_table={cues:08x};sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero(np.diff(x >= 128))};peak={x.max(initial=0)}"
     )
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """The digests of op2 from stored files (doc_id, n_bytes, media): every value comes from parsing the file."""
+    """The digests of op2 from stored files (doc_id, n_bytes, media): every value comes from parsing the file.
+
+    Null media gives nulls. A file that can't be parsed has its size and digest, no payload, and the reason as feature.
+    Repeated rows are repeated, an empty table gives an empty one.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    def digests(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
+        try:
+            media = parse(data)
+        except MatroskaError as e:
+            return None, None, None, len(data), sha256(data).hexdigest(), f"error={e}"
+        payload = b"".join(data[a : a + n] for _, _, a, n, *_ in media.packets)
+        return len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), sha256(data).hexdigest(), feature(media, payload)
+
     def run(it):
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in slices(it):
-            rows = []
-            for data in batch.column(2).to_pylist():
-                media = parse(data)
-                payload = b"".join(data[a : a + n] for _, _, a, n, *_ in media.packets)
-                rows.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), sha256(data).hexdigest(), feature(media, payload)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows)) or [()] * 6
+            columns = list(zip(*map(digests, batch.column(2).to_pylist())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -66,6 +66,60 @@ def test_broken_files():
             pass
 
 
+def with_info(*more):
+    m = matroska
+    cluster = m.element(m.CLUSTER, m.number(m.CLUSTER_TIME, 1) + m.element(m.SIMPLE_BLOCK, b"\x81\0\0\x80abc"))
+    return m._PREAMBLE + m.element(m.SEGMENT, m.element(m.INFO, b"".join(more)) + m._TRACKS + cluster)
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), -float("inf"), 1e300])
+def test_durations_that_are_no_number(value):
+    import struct
+
+    m = matroska
+    with pytest.raises(m.MatroskaError):
+        m.parse(with_info(m.element(m.DURATION, struct.pack(">d", value))))
+
+
+def test_numbers_beyond_64_bits():
+    m = matroska
+    assert m.parse(with_info(m.number(m.TIMESTAMP_SCALE, 10))).packets[0][1] == 10
+    for bad in (with_info(m.number(m.TIMESTAMP_SCALE, 1 << 64)), with_info(m.element(m.TIMESTAMP_SCALE, b"\xff" * 2000))):
+        with pytest.raises(m.MatroskaError):
+            m.parse(bad)
+    cue = m.element(m.CUES, m.element(m.CUE_POINT, m.element(m.CUE_TIME, b"\xff" * 9) + m.element(m.CUE_POSITIONS, m.number(m.CUE_TRACK, 1))))
+    track = m.element(m.CLUSTER, m.element(m.SIMPLE_BLOCK, b"\x01" + b"\xff" * 7 + b"\0\0\x80abc"))
+    for part in (cue, track):
+        with pytest.raises(m.MatroskaError):
+            m.parse(m._PREAMBLE + m.element(m.SEGMENT, part))
+
+
+def test_cue_table(spark):
+    data = matroska.write_pcm(b"z" * 192 * 300)
+    media = matroska.parse(data)
+    rows = matroska.cue_rows(media)
+    assert [r[3:] for r in rows] == [(0, 0), (1, 128), (2, 256)] and [r[2] for r in rows] == media.clusters
+    media.cues += [(0, 7, media.clusters[0]), (10**15, 1, media.clusters[0]), (0, 1, 3)]
+    assert [r[3:] for r in matroska.cue_rows(media)[3:]] == [(0, None), (0, None), (None, None)]
+    df = spark.createDataFrame([(1, data, "a"), (2, None, "b"), (3, b"no", "c")], "id long, media binary, cue string")
+    got = matroska.cue_table(df).orderBy("id", "cue.time_ns").collect()
+    assert [(r.id, r.cue and tuple(r.cue), r.error is None) for r in got] == [*((1, r, True) for r in rows), (3, None, False)]
+
+
+def test_odd_media_files(spark):
+    import struct
+
+    bad = with_info(matroska.element(matroska.DURATION, struct.pack(">d", float("nan"))))
+    df = spark.createDataFrame([(1, 3, None), (2, 3, bad), (None, 3, matroska.store_text("abc")), (4, 0, b"")], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in matroska.read_media(df).collect()}
+    assert got[1][2:] == (None,) * 6 and got[2].payload_sha256 is None and "64-bit" in got[2].feature and got[None].payload_bytes == 192
+    assert got[4].media_bytes == 0 and got[4].feature.startswith("error=")
+    assert [r.error for r in matroska.packet_table(df.where("doc_id = 2")).collect()] == ["the duration is no 64-bit number"]
+    names = spark.createDataFrame([(1, bytearray(matroska.store_text("a")), 5, "x")], "error long, media binary, packet long, media_ string")
+    assert matroska.packet_table(names).columns == ["media_", "packet", "error"]
+    assert matroska.packet_table(names.limit(0)).collect() == []
+
+
 def test_media_of_documents(spark):
     texts = [None, "", "a", "é" * 96, "x" * 192, "long text " * 20000, "a"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int")
