@@ -21,6 +21,8 @@ from .common import stored
 SHARD = 8192
 #: Queries that a task takes through a shard at once.
 BLOCK = 1 << 16
+#: Shards whose results for a query are merged at once.
+MERGE = 64
 M, EF_BUILD, EF_SEARCH = 16, 80, 120
 
 
@@ -161,11 +163,18 @@ class Graph:
         return g
 
 
+def _precision(rows: DataFrame) -> type:
+    """The type of a vector's components: float for a column of float, double for any other."""
+    return np.float32 if rows.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+
+
 def _usable(rows: DataFrame) -> DataFrame:
-    """vec_id and vector (array<float>, zeros without a sign) of the rows that take part."""
+    """vec_id and vector (array of float or double, zeros without a sign) of the rows that take part."""
+    name = "float" if _precision(rows) is np.float32 else "double"
+    rows = rows.select("vec_id", F.col("embedding").cast(f"array<{name}>").alias("embedding"))
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return rows.where(ok & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")).alias("vector"))
+    return rows.where(ok & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x + F.lit(0.0).cast(name)).alias("vector"))
 
 
 def nodes(rows: DataFrame, k: int) -> DataFrame:
@@ -174,18 +183,21 @@ def nodes(rows: DataFrame, k: int) -> DataFrame:
     Each partition first keeps the smallest ids of its own vectors, so a vector that many rows have isn't gathered.
     """
 
+    kind = _precision(rows)
+    width = np.dtype(kind).itemsize
+
     def partial(it):
         found: dict[bytes, list[int]] = {}
 
         def table():
             keys = list(found)
-            at = np.cumsum([0, *(len(x) // 4 for x in keys)])
-            vectors = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(keys), np.float32)))
+            at = np.cumsum([0, *(len(x) // width for x in keys)])
+            vectors = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(keys), kind)))
             return pa.RecordBatch.from_arrays([vectors, pa.array(found.values(), pa.list_(pa.int64()))], names=["vector", "ids"])
 
         for batch in it:
             column = batch.column(1)
-            at, flat = column.offsets.to_numpy(), column.values.to_numpy().astype(np.float32)
+            at, flat = column.offsets.to_numpy(), column.values.to_numpy().astype(kind)
             for i, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 ids = found.setdefault(flat[a:b].tobytes(), [])
                 if len(ids) <= k or i < ids[-1]:
@@ -199,20 +211,21 @@ def nodes(rows: DataFrame, k: int) -> DataFrame:
         if found:
             yield table()
 
-    merged = _usable(rows).mapInArrow(partial, "vector array<float>, ids array<long>").groupBy("vector")
+    merged = _usable(rows).mapInArrow(partial, f"vector array<{'float' if width == 4 else 'double'}>, ids array<long>").groupBy("vector")
     return merged.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
 
 
 def build_index(rows: DataFrame, k: int = 20, shard_rows: int = SHARD) -> DataFrame:
     """The index table: shard, dim, graph (bytes), ids (of the nodes) for every shard of about shard_rows nodes."""
     found = stored(nodes(rows, k), "hnsw-nodes")
+    kind = _precision(rows)
     n = found.count()
     shards = max(1, -(-n // shard_rows))
     dealt = found.select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dim"), "vector", "ids")
 
     def build(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
-        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
         order = np.lexsort(flat.T[::-1]) if len(flat) < 2 else np.lexsort((np.array([i[0] for i in table.column("ids").to_pylist()]),))
         ids = [table.column("ids")[int(i)].as_py() for i in order]
         graph = Graph(flat[order]).to_bytes()
@@ -225,10 +238,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = S
     """query_id, rank, vec_id, score of the k nearest rows found for each query (rows of vec_id, embedding).
 
     Vectors that are null, zero or hold null or non-finite components take no part, and only vectors of a query's own
-    length do. Rows with equal vec_id and vector count once; a query's own row is left out. A task has one shard's graph
-    and one block of queries at a time; the merge has k candidates of each shard for a query.
+    length do. Components of integer or double type are searched in single precision too, but scored and told apart in
+    double precision. Rows with equal vec_id and vector count once; a query's own row is left out. Ties go to the smaller
+    vec_id among all found. An empty table gives an empty result; further columns are ignored. A task has one shard's
+    graph and one block of queries at a time; the merge has k candidates of MERGE shards for a query.
     """
     index = build_index(rows, k, shard_rows)
+    kind, asked_kind = _precision(rows), _precision(queries)
     usable = _usable(queries).distinct()
     blocks = max(1, -(-usable.count() // block))
     shards = index.agg(F.max("shard")).first()[0] or 0
@@ -241,21 +257,29 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = S
         if shard.num_rows and asked.num_rows:
             dim = shard.column("dim")[0].as_py()
             graph, ids = Graph.from_bytes(shard.column("graph")[0].as_py()), shard.column("ids")[0].as_py()
-            x = np.frombuffer(shard.column("vectors")[0].as_py(), np.float32).reshape(-1, dim).astype(np.float64)
-            q = asked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            x = np.frombuffer(shard.column("vectors")[0].as_py(), kind).reshape(-1, dim).astype(np.float64)
+            q = asked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(asked_kind).reshape(-1, dim)
             own = asked.column("vec_id").to_pylist()
             for i, vector in zip(own, q):
                 at = graph.search(vector, k + 1, ef)
                 exact = (x[at] * vector.astype(np.float64)).sum(1)
-                order = np.argsort(-exact, kind="stable")[: 4 * k]
-                found = sorted((-float(s), j) for s, a in zip(exact[order], at[order]) for j in ids[a] if j != i)[:k]
+                if len(at) > k + 1:  # the query's own node may hold no other id; nodes with the last score all stay
+                    near = exact >= np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
+                    at, exact = at[near], exact[near]
+                found = sorted((-float(s), j) for s, a in zip(exact, at) for j in ids[a] if j != i)[:k]
                 hits.append([{"s": s, "vec_id": j} for s, j in found])
-        kind = pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())]))
-        return pa.table({"query_id": pa.array(own, pa.int64()), "hits": pa.array(hits, kind)})
+        hit = pa.list_(pa.struct([("s", pa.float64()), ("vec_id", pa.int64())]))
+        number = shard.column("shard")[0].as_py() if shard.num_rows else 0
+        return pa.table({"query_id": pa.array(own, pa.int64()), "shard": pa.array([number] * len(own), pa.int32()), "hits": pa.array(hits, hit)})
 
     keys = ["shard", "dim", "block"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, hits array<struct<s:double,vec_id:bigint>>")
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+    merged = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, shard int, hits array<struct<s:double,vec_id:bigint>>")
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
+    left = shards + 1
+    while left > MERGE:  # at most MERGE lists of k at a time
+        merged = merged.groupBy("query_id", F.floor(F.col("shard") / MERGE).cast("int").alias("shard")).agg(nearest)
+        left = -(-left // MERGE)
+    merged = merged.groupBy("query_id").agg(nearest)
     return merged.select("query_id", F.posexplode("hits").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score")
     )

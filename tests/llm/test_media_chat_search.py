@@ -224,6 +224,25 @@ def test_search_edges(spark):
     assert hnsw.search(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_ties_go_to_the_smallest_ids(spark):
+    r = np.random.default_rng(8)
+    tied = [(int(i), [2.0, *map(float, r.normal(size=3).round(2))]) for i in r.permutation(np.arange(1, 111))]
+    low = [(1000 + i, [-1.0, *map(float, r.normal(size=3).round(2))]) for i in range(50)]
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), *tied, *low], "vec_id long, embedding array<float>")
+    found = hnsw.search(df, df.where("vec_id = 0"), ef=400).orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in found] == [(i, 2.0) for i in range(1, 21)]
+    many = hnsw.search(df, df.where("vec_id = 0"), ef=400, shard_rows=1).orderBy("rank").collect()  # over 64 shards
+    assert [x.vec_id for x in many] == list(range(1, 21))
+
+
+def test_double_components_are_not_rounded(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0 + 1e-12, 3.0]), (2, [1.0, 5.0]), (3, [1.0 + 2e-12, 0.5])], "vec_id long, embedding array<double>")
+    found = hnsw.search(df, df.where("vec_id = 20")).orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in found] == [(3, 1.0 + 2e-12), (1, 1.0 + 1e-12), (2, 1.0)]
+    whole = spark.createDataFrame([(20, [1, 0]), (1, [3, 3])], "vec_id long, embedding array<int>")
+    assert [(x.vec_id, x.score) for x in hnsw.search(whole, whole.where("vec_id = 20")).collect()] == [(1, 3.0)]
+
+
 def test_graph_survives_its_bytes():
     v = np.random.default_rng(0).normal(size=(300, 8))
     g = hnsw.Graph(v)
