@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import slices, stored, with_fields
+from .common import fresh, slices, stored, with_fields
 
 CAPACITY = 2048
 END_ID = 0
+#: Salts of a length, and the pieces of a length for which it gets one more.
+SALTS, SALT_ROWS = 64, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,7 +40,8 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document's ids (null text: empty) with ``end_id`` appended, and each piece's crc32."""
+    """The pieces of every document's ids (null text: empty) with ``end_id`` appended, and each piece's crc32, for each
+    row of docs (doc_id, text; more columns are ignored)."""
     path = path or tokens.byte_bpe()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -55,7 +58,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -126,43 +129,61 @@ def plan_bins(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(segments), np.int64).reshape(-1, 6)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
-    """Add sequence_id and offset to pieces (columns doc_id, piece, length).
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Add sequence_id and offset to pieces (columns doc_id, piece, length); columns of these names are replaced, all
+    others stay.
 
-    Ranks are counted within (length, salt) and shifted by the counts of the salts before, so that a length which many
-    pieces have is ranked by many tasks. Only capacity * salts counts come to the driver, and only they and the plan,
-    which has some segments for each length, go to the executors. An empty table gives an empty one.
+    Ranks are counted within (length, salt) and shifted by the counts of the salts before. A length has ``salts`` salts
+    and one more for every ``salt_rows`` pieces, so that one which most pieces have is ranked by many tasks. Only the
+    counts of lengths and salts come to the driver (capacity * salts, and one more for every salt_rows pieces), and only
+    they and the plan, which has some segments for each length, go to the executors. Pieces without a doc_id take part;
+    repeated rows are placed each. An empty table gives an empty one; lengths that are null, below 1 or above the
+    capacity are an error.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for n, salt, count in salted.groupBy("length", "_salt").count().collect():
-        if not 0 < n <= capacity:
-            raise ValueError(f"piece lengths must be between 1 and {capacity}")
-        counts[n, salt] = count
-    before = np.cumsum(counts, 1) - counts
-    segments = plan_bins({n: int(c) for n, c in enumerate(counts.sum(1)) if c}, capacity)
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select([f"`{c}`" for c in names])
+    salt_name, rank_name = fresh(names, "_salt", "_rank")
+    sizes = {n: c for n, c in pieces.groupBy("length").count().collect()}
+    if any(n is None or not 0 < n <= capacity for n in sizes):
+        raise ValueError(f"piece lengths must be between 1 and {capacity}")
+    width = np.zeros(capacity + 2, np.int64)
+    for n, c in sizes.items():
+        width[n] = salts + c // salt_rows
+    base = np.cumsum(width) - width
+    width_of = F.element_at(F.lit(width[1:].tolist()), F.col("length").cast("int"))
+    salted = pieces.withColumn(salt_name, F.pmod(F.xxhash64("doc_id", "piece"), width_of).cast("int"))
+    counts = np.zeros(int(width.sum()) + 1, np.int64)
+    for n, salt, count in salted.groupBy("length", salt_name).count().collect():
+        counts[base[n] + salt] = count
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[base], np.append(width[:-1], width[-1] + 1))  # within the length
+    segments = plan_bins(sizes, capacity)
     bound = 64 * capacity
     if len(segments) > bound:
         raise ValueError(f"the plan has {len(segments)} segments, more than {bound}")
     length, rank, _, first, each, offset = segments.T
     key = (length << 44) | rank
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long")
-    ranked = salted.withColumn("_rank", own - 1)
-    names = pieces.columns
+    own = F.row_number().over(Window.partitionBy("length", salt_name).orderBy("doc_id", "piece")).cast("long")
+    ranked = salted.withColumn(rank_name, own - 1)
+    length_at = names.index("length")
 
     def place(it):
         for b in it:
-            n, r = b.column("length").to_numpy(), b.column("_rank").to_numpy()
-            r = r + before[n, b.column("_salt").to_numpy()]
+            n, salt, r = (b.column(k).to_numpy() for k in (length_at, len(names), len(names) + 1))
+            r = r + before[base[n] + salt]
             s = np.searchsorted(key, (n << 44) | r, "right") - 1
             k = r - rank[s]
             bins, at = first[s] + k // each[s], offset[s] + (k % each[s]) * n
-            columns = [*(b.column(c) for c in names), pa.array(bins, pa.int64()), pa.array(at, pa.int64())]
+            columns = [*(b.column(k) for k in range(len(names))), pa.array(bins, pa.int64()), pa.array(at, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, with_fields(pieces.schema, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise and pack documents (doc_id, text; more columns are ignored). One row for each piece."""
+    """Tokenise and pack documents (doc_id, text; more columns are ignored). One row for each piece.
+
+    Null text is empty, and an empty document is a piece of the end id alone. A null doc_id stays null; rows that share a
+    doc_id are packed each. An empty table gives an empty one.
+    """
     return pack(stored(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)

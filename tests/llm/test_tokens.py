@@ -5,6 +5,7 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, bpe_automaton, packing, tokens
@@ -149,5 +150,63 @@ def test_packing_of_documents(spark):
         assert sum(r.length for r in spans) <= 2048
 
 
+def well_placed(rows, capacity):
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by_seq.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by_seq)
+
+
+@pytest.mark.parametrize("salts, salt_rows", [(1, 10**9), (2, 7), (64, 100_000)])
+def test_packing_of_a_length_that_most_pieces_have(spark, salts, salt_rows):
+    r = random.Random(salts)
+    data = [(None if i % 50 == 0 else i // 2, i % 2, r.choice([10, 10, 10, 3, 7, 1, 4]), "s", "o", "q") for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, piece int, length long, _salt string, Offset_ string, sequence_id string")
+    got = packing.pack(df.withColumn("_rank", F.lit(1)).withColumn("offset", F.lit(2)), 10, salts, salt_rows)
+    assert got.columns == ["doc_id", "piece", "length", "_salt", "Offset_", "_rank", "sequence_id", "offset"]
+    rows = got.collect()
+    assert sorted(repr(tuple(x[:4])) for x in rows) == sorted(repr(tuple(x[:4])) for x in data)
+    total = sum(x[2] for x in data)
+    assert well_placed(rows, 10) <= -(-total // 10) + 10
+    with pytest.raises(ValueError):
+        packing.pack(df, 9, salts, salt_rows)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_number_of_bins_against_the_best_one(seed):
+    """Small cases against all ways to pack: with pieces above a third, pairs are as many as can be."""
+    r = random.Random(seed)
+    cap = r.choice([6, 9, 12])
+    lengths = sorted((r.randint(1, cap) for _ in range(r.randint(1, 9))), reverse=True)
+
+    def best(left, bins, most):
+        if not left:
+            return len(bins)
+        if len(bins) >= most:
+            return most
+        for k in {b: i for i, b in enumerate(bins)}.values():
+            if bins[k] + left[0] <= cap:
+                most = min(most, best(left[1:], [*bins[:k], bins[k] + left[0], *bins[k + 1 :]], most))
+        return min(most, best(left[1:], [*bins, left[0]], most))
+
+    counts = {n: lengths.count(n) for n in lengths}
+    plan = packing.plan_bins(counts, cap)
+    used = len({b + k // each for _, _, n, b, each, _ in plan.tolist() for k in range(n)})
+    least = best(lengths, [], len(lengths))
+    assert least <= used <= (least if all(3 * n > cap for n in lengths) else 11 * least / 9 + 1)
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(rows(spark, [])).collect() == []
+
+
+def test_packing_of_repeated_and_unnamed_documents(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (None, "x"), (None, None)], "doc_id long, text string")
+    got = packing.pack_documents(docs).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (0, 2), (1, 1), (1, 3), (1, 3)] and well_placed(got, 2048) == 1
