@@ -10,6 +10,7 @@ the n-grams are three bytes, hashed into a fixed number of buckets.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, with_fields
+from .common import fresh, slices, utf8, with_fields
 
 BUCKETS = 1 << 15
 #: Documents of each language that the n-gram counts are fitted on, in the mean: those whose hash of doc_id is below a
@@ -73,17 +74,14 @@ def mixture(p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndar
     return pi, mixed, float(c @ np.log(mixed))
 
 
-def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float, float]:
-    """Proportions of the chosen languages, the score of the largest (its proportion times its posterior), and the gain:
-    by how much an n-gram is likelier in the mixture than in a background of equal buckets (mean of log ratios)."""
-    counts = np.bincount(grams(data), minlength=BUCKETS)
-    at = np.flatnonzero(counts)
-    if not len(at):
-        return {}, 0.0, 0.0
-    c, p = counts[at].astype(float), model.probability[at]
-    n = c.sum()
+def select(p: np.ndarray, c: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarray, float, np.ndarray]:
+    """The language set with its proportions and log-likelihood, and the log-likelihood of each single language.
+
+    From the likeliest single language on, the one with the largest likelihood gradient joins for as long as the
+    penalised likelihood rises.
+    """
     single = c @ np.log(p)
-    chosen = [int(single.argmax())]
+    n, chosen = c.sum(), [int(single.argmax())]
     pi, mixed, best = mixture(p[:, chosen], c)
     price = penalty * np.log(n + 1)
     while len(chosen) < p.shape[1]:
@@ -96,10 +94,22 @@ def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dic
         if value - best <= price:
             break
         chosen, pi, mixed, best = more, pi2, mixed2, value
+    return chosen, pi, best, single
+
+
+def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float, float]:
+    """Proportions of the chosen languages, the score of the largest (its proportion times its posterior), and the gain:
+    by how much an n-gram is likelier in the mixture than in a background of equal buckets (mean of log ratios)."""
+    counts = np.bincount(grams(data), minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    if not len(at):
+        return {}, 0.0, 0.0
+    c, p = counts[at].astype(float), model.probability[at]
+    chosen, pi, best, single = select(p, c, penalty)
     top = chosen[int(pi.argmax())]
     posterior = 1 / np.exp(np.minimum((single - single[top]) / 3, 50)).sum()
     score = float(min(1.0, pi.max() * posterior)) if len(chosen) == 1 else float(pi.max())
-    return dict(zip(chosen, map(float, pi))), score, float(best / n + np.log(BUCKETS))
+    return dict(zip(chosen, map(float, pi))), score, float(best / c.sum() + np.log(BUCKETS))
 
 
 def fit(docs: DataFrame, usable: Column, per_language: int = FIT_DOCS) -> Model | None:
@@ -134,7 +144,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = FIT_DOCS) -> Model
     return Model(languages, np.ascontiguousarray((total / total.sum(1, keepdims=True)).T))
 
 
-def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, names: tuple[str, str, str, str] = ("lang_pred", "score", "lang_mix", "gain")) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, names: Sequence[str] = ("lang_pred", "score", "lang_mix", "gain")) -> DataFrame:
     """Add the language, its score, the mixture (language -> proportion) and the gain to docs, under ``names``; columns
     of these names are replaced, all others stay.
 
@@ -168,14 +178,20 @@ def held_out(modulus: int, fold: int) -> Column:
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:
-    """Fit on the rows that aren't held out, then predict every document from its text alone."""
+    """Fit on the rows that aren't held out, then predict every row of docs (doc_id, lang, text; more columns are ignored)
+    from its text alone.
+
+    Null or letterless texts, and all texts if there are no languages to learn, get ``und`` and 0. A null doc_id stays null
+    and counts as the empty text for the fold; repeated rows are repeated, an empty table gives an empty one.
+    """
     model = fit(docs, ~held_out(5, 0))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "lang_mix")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the documents in a known language, with the columns of docs. A text that the learned languages
-    explain no better than equal buckets do is in none of them."""
-    names = ("_lang_pred", "_lang_score", "_lang_mix", "_lang_gain")
+    explain no better than equal buckets do is in none of them; nor is one that is null or has no letter. Repeated rows
+    are judged alike."""
+    names = fresh(docs.columns, "_lang_pred", "_lang_score", "_lang_mix", "_lang_gain")
     judged = identify(docs, fit(docs, ~held_out(5, 0)), names=names)
     return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE) & (F.col(names[3]) >= LEAST_GAIN)).select([f"`{c}`" for c in docs.columns])

@@ -7,12 +7,14 @@ hashed into one weight table; a feature's value is its share of the text's words
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, mix, slices, span_hashes, utf8, with_fields, word_spans
+from .common import ASCII_SPACE, fresh, mix, slices, span_hashes, stored, utf8, with_fields, word_spans
 from .language import held_out
 
 BITS = 18
@@ -50,38 +52,45 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return index, np.concatenate(rows), np.bincount(row, minlength=n)
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal over (indices, values, label, weight), in the given order; the last weight is the intercept."""
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
+class Ftrl:
+    """FTRL-proximal for logistic regression; the last weight is the intercept."""
+
+    def __init__(self, size: int = (1 << BITS) + 1) -> None:
+        self.z, self.n = np.zeros(size), np.zeros(size)
+
+    def weights(self, i: np.ndarray) -> np.ndarray:
+        z = self.z[i]
+        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((RATE_BASE + np.sqrt(self.n[i])) / RATE + L2))
 
-    def weights(i):
-        return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((RATE_BASE + np.sqrt(n[i])) / RATE + L2))
+    def learn(self, i: np.ndarray, x: np.ndarray, label: int, weight: float) -> None:
+        """One example: distinct indices, their values, 0 or 1, and how much it counts."""
+        w, n = self.weights(i), self.n[i]
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * weight * x
+        self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / RATE * w
+        self.n[i] = n + g * g
 
-    for _ in range(epochs):
-        for i, x, label, weight in examples:
-            w = weights(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * weight * x
-            root = np.sqrt(n[i] + g * g)
-            z[i] += g - (root - np.sqrt(n[i])) / RATE * w
-            n[i] += g * g
-    return weights(np.arange(size)).astype(np.float32)
+    def model(self) -> np.ndarray:
+        return self.weights(np.arange(len(self.z))).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from labelled documents that aren't held out (crc32 of doc_id mod 3 is not 1).
 
-    A doc_id with several labels takes part with each. Without labelled documents every score is 0.5. The sampled ids
-    (2 * per_class in the mean) are the only rows that are broadcast, and their features the only ones collected.
+    Null texts are empty. A doc_id with several labels, or several texts, takes part with each; labels that aren't 0 or 1
+    and rows without a doc_id don't. Without labelled documents every score is 0.5. The sampled ids (2 * per_class in the
+    mean) are the only rows that are broadcast. One task takes their features in the order of (epoch, hash of doc_id, ...),
+    a slice at a time, and gives the weights: they alone come to the driver, however long the documents are.
     """
-    usable = labels.where(~held_out(3, 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_label"))
-    sizes = {r[0]: r[1] for r in usable.groupBy("_label").count().collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    usable = labels.where(~held_out(3, 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    sizes = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
     share = {k: min(1.0, per_class / v) for k, v in sizes.items()}
-    sample = usable.where(place < F.when(F.col("_label") == 0, share.get(0, 1.0)).otherwise(share.get(1, 1.0)))
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", "text")
+    if not share:
+        return Ftrl().model()
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    sample = usable.where(place < F.when(F.col("label") == 0, share.get(0, 1.0)).otherwise(share.get(1, 1.0)))
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
-    def run(it):
+    def extract(it):
         for batch in slices(it):
             index, row, words = features(*utf8(batch.column(2)))
             order = np.lexsort((index, row))
@@ -89,21 +98,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> np.nda
             index, out = index[order], ([], [])
             for k in range(batch.num_rows):
                 i, c = np.unique(index[cut[k] : cut[k + 1]], return_counts=True)
-                out[0].append(i.tobytes())
-                out[1].append((c / max(words[k], 1)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["doc_id", "label", "i", "x"])
+                out[0].append(np.append(i, np.int32(1 << BITS)).astype(np.int32).tobytes())
+                out[1].append(np.append(c / max(words[k], 1), 1.0).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["doc_id", "label", "i", "x"])
 
-    found = joined.mapInArrow(run, "doc_id long, label int, i binary, x binary").toArrow()
     weight = {k: 1 / v for k, v in share.items()}
-    mean = np.mean([weight[k] for k in share]) if share else 1.0
-    examples = []
-    for doc, label, i, x in zip(*(found.column(c).to_pylist() for c in ("doc_id", "label", "i", "x"))):
-        i, x = np.append(np.frombuffer(i, np.int32), 1 << BITS), np.append(np.frombuffer(x, np.float32), 1.0)
-        examples.append((int(mix(np.array([doc], np.int64).view(np.uint64))[0]), doc, label, (i, x, label, weight[label] / mean)))
-    return train([e[3] for e in sorted(examples, key=lambda e: e[:3])])
+    mean = sum(weight.values()) / len(weight)
+
+    def learn(it):
+        ftrl = Ftrl()
+        for batch in slices(it):
+            for label, i, x in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                ftrl.learn(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), label, weight[label] / mean)
+        yield pa.RecordBatch.from_arrays([pa.array([ftrl.model().tobytes()], pa.binary())], names=["weights"])
+
+    found = stored(joined.mapInArrow(extract, "doc_id long, label int, i binary, x binary"), "features")
+    turns = found.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs))))).repartition(1)
+    ordered = turns.sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", "label", "i", "x").select("label", "i", "x")
+    row = ordered.mapInArrow(learn, "weights binary").first()
+    return np.frombuffer(row[0], np.float32) if row else Ftrl().model()
 
 
-def score(docs: DataFrame, weights: np.ndarray, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, names: Sequence[str] = ("score", "predicted")) -> DataFrame:
     """Add the score and the predicted class to docs, under ``names``; columns of these names are replaced, all others
     stay. Null text counts as empty."""
     docs = docs.select([f"`{c}`" for c in docs.columns if c not in names])
@@ -122,10 +138,17 @@ def score(docs: DataFrame, weights: np.ndarray, names: tuple[str, str] = ("score
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted class of every row of docs (more columns are ignored).
+
+    A null text scores as the empty one; a null doc_id stays null and counts as the empty text for the fold. Repeated rows
+    are repeated, an empty table gives an empty one.
+    """
     return score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents that the classifier doesn't reject, with the columns of docs."""
-    judged = score(docs, fit(docs, labels), names=("_quality_score", "_quality_class"))
-    return judged.where(F.col("_quality_score") >= LEAST_SCORE).select([f"`{c}`" for c in docs.columns])
+    """Pipeline stage: the documents that the classifier doesn't reject, with the columns of docs. Null texts are judged as
+    empty ones; equal texts stay or go alike."""
+    names = fresh(docs.columns, "_quality_score", "_quality_class")
+    judged = score(docs, fit(docs, labels), names=names)
+    return judged.where(F.col(names[0]) >= LEAST_SCORE).select([f"`{c}`" for c in docs.columns])

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -91,6 +93,94 @@ def test_quality_edge_rows(spark):
     assert {r.score for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_ftrl(examples):
+    """The update of each coordinate as it is published, in plain Python."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * quality.L1) / ((quality.RATE_BASE + math.sqrt(n[i])) / quality.RATE + quality.L2)
+
+    for features, label, importance in examples:
+        w = {i: weight(i) for i in features}
+        p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in features.items())))
+        for i, x in features.items():
+            g = (p - label) * importance * x
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.RATE
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_against_a_plain_loop():
+    r = random.Random(11)
+    examples = [({i: r.random() for i in r.sample(range(30), r.randint(1, 8))}, r.randint(0, 1), r.choice([0.5, 1.0, 2.0])) for _ in range(400)]
+    model = quality.Ftrl(31)
+    for features, label, importance in examples:
+        model.learn(np.array(list(features)), np.array(list(features.values())), label, importance)
+    want = plain_ftrl(examples)
+    assert np.allclose(model.weights(np.arange(31)), [want.get(i, 0.0) for i in range(31)], atol=1e-12)
+    assert any(w == 0 for w in plain_ftrl(examples[:2]).values()) or len(want) == 30
+
+
+def test_training_takes_the_examples_in_one_order(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} {'good' if i % 2 else 'bad!!'} text") for i in range(60)] + [(3, None), (3, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(7, 0), (8, 5)], "doc_id long, quality int")
+    one = quality.fit(docs, labels)
+    assert (one == quality.fit(docs.repartition(7), labels.repartition(3))).all() and np.count_nonzero(one) > 10
+    assert (quality.fit(docs.limit(0), labels) == 0).all()
+
+
+def plain_mixture(p, c, rounds=400):
+    """EM over single n-grams: who drew each, then the shares."""
+    k = len(p[0])
+    pi = [1 / k] * k
+    for _ in range(rounds):
+        total = [0.0] * k
+        for row, n in zip(p, c):
+            mixed = sum(a * b for a, b in zip(pi, row))
+            for j in range(k):
+                total[j] += n * pi[j] * row[j] / mixed
+        pi = [t / sum(c) for t in total]
+    return pi, sum(n * math.log(sum(a * b for a, b in zip(pi, row))) for row, n in zip(p, c))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_em_and_selection_against_plain_loops(seed):
+    r = np.random.default_rng(seed)
+    p = r.dirichlet(np.full(40, 0.3), 4).T + 1e-4
+    p /= p.sum(0)
+    true = [np.array([1, 0, 0, 0.0]), np.array([0.5, 0.5, 0, 0]), np.array([0.4, 0, 0.6, 0]), np.array([0.3, 0.3, 0.4, 0]), np.array([0, 0, 0.2, 0.8])][seed]
+    c = r.multinomial(3000, p @ true).astype(float)
+    at = np.flatnonzero(c)
+    pi, mixed, value = language.mixture(p[at], c[at], rounds=400)
+    want, best = plain_mixture(p[at].tolist(), c[at].tolist())
+    assert np.allclose(pi, want, atol=0.02) and abs(value - best) < 1.0
+    # the chosen set has the best penalised likelihood of all sets
+    price = language.PENALTY * math.log(c.sum() + 1)
+    sets = [s for k in range(1, 5) for s in itertools.combinations(range(4), k)]
+    worth = {s: plain_mixture(p[np.ix_(at, s)].tolist(), c[at].tolist(), 150)[1] - price * (len(s) - 1) for s in sets}
+    found = language.select(p[at], c[at])
+    assert set(found[0]) == set(max(worth, key=worth.get)) == set(np.flatnonzero(true).tolist())
+
+
+def test_repeated_documents_are_judged_alike(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    twice = docs.unionByName(docs).unionByName(docs.limit(1).selectExpr("cast(null as long) doc_id", "lang", "text"))
+    for found in (language.predict_documents(twice), quality.score_documents(twice, table(spark, sf, "labels"))):
+        rows = found.select("doc_id", "score").collect()
+        assert len(rows) == 2 * docs.count() + 1 and len({tuple(r) for r in rows}) == docs.count() + 1
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog went there", "en", "mine", 0.5, "m", 1) for i in range(30)], "doc_id long, text string, lang string, _lang_pred string, _LANG_SCORE double, _quality_score string, _quality_class int")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    for kept in (language.keep_known(docs), quality.keep_good(docs, labels)):
+        assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
+
+
 def test_features_by_hand():
     text = "Ab ab  ab 12\nX"
     rows = np.array([0, len(text), len(text)])
