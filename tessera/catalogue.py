@@ -6,6 +6,7 @@ suppliers nodes, events hops and telemetry, documents named objects, and embeddi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,11 +79,43 @@ query(_FACTORING + _SUMS, "chunk_factoring")(_chunked("factoring"))
 query(_TRAPEZOID + _SUMS, "chunk_tss")(_chunked("trapezoid"))
 query(_QUADRATIC + _SUMS, "chunk_qss")(_chunked("quadratic"))
 query(_EQUAL.replace("with b", "with b0", 1).replace("b0 as", "b as") + ", r as (select chunk_no, planned_size, (select lo+hi from b)-up low, (select lo+hi from b)-low up from c)" + _SUMS.replace("from c left", "from r left"), "chunk_reverse_equal")(_chunked("equal", reverse=True))
+_MIRROR = ", r as (select chunk_no, planned_size, (select lo+hi from b)-up low, (select lo+hi from b)-low up from c)" + _SUMS.replace("from c left", "from r left")
+for _name, _strategy, _sql in (("gss", "guided", _GUIDED), ("factoring", "factoring", _FACTORING), ("tss", "trapezoid", _TRAPEZOID), ("qss", "quadratic", _QUADRATIC)):
+    query(_sql + _MIRROR, f"chunk_reverse_{_name}")(_chunked(_strategy, reverse=True))
 query(f"with {_B} select cast(1 as int) chunk_no, cast(hi-lo as bigint) planned_size, cast(lo as bigint) low, cast(hi as bigint) up, cast(hi-lo+1 as bigint) n_elements, (select count(*) from lineitem) n_rows, (select sum(l_quantity) from lineitem) total from b", "chunk_single_node")(
     lambda spark, d: chunks.aggregate(read(spark, d, "lineitem"), "l_orderkey", "l_quantity", "guided", 1)
 )
 
 
+# loops over real numbers: order prices, with the unit gap between chunks
+_RB = "b as (select min(o_totalprice) lo, max(o_totalprice) hi, max(o_totalprice)-min(o_totalprice) d0 from orders)"
+_RC = "c as (select chunk_no, planned_size, low, least(up, hi) up from s, b)"
+_REAL = {
+    "equal": f"with {_RB}, c as (select i chunk_no, d0 planned_size, case when i=1 then lo else lo+(d0/8::double*(i-1)+1) end low, case when i=8 then hi else lo+d0/8::double*i end up from b, (select unnest(range(1,9)) i))",
+    "guided": f"""with recursive {_RB}, s(chunk_no, d, planned_size, low, up) as (select 1, d0-greatest(ceil(d0/8::double),1), ceil(d0/8::double), lo, lo+greatest(ceil(d0/8::double),1)-1 from b
+      union all select chunk_no+1, d-greatest(ceil(d/8::double),1), ceil(d/8::double), up+1, (up+1)+greatest(ceil(d/8::double),1)-1 from s, b where up<hi), {_RC}""",
+    "factoring": f"""with recursive {_RB}, s(chunk_no, d, planned_size, low, up) as (select 1, d0, greatest(ceil(d0/16::double),1), lo, lo+greatest(ceil(d0/16::double),1)-1 from b
+      union all select chunk_no+1, d2, greatest(ceil(d2/16::double),1), up+1, (up+1)+greatest(ceil(d2/16::double),1)-1 from (select *, case when chunk_no%8=0 then d-planned_size*8 else d end d2 from s), b where up<hi), {_RC}""",
+    "trapezoid": f"""with recursive {_RB}, k as (select *, 0.0625::double*d0 f, 0.01::double*d0 l from b), p as (select *, (f-l)/(2*d0/(f+l)-1) step from k), s(chunk_no, planned_size, low, up) as (select 1, f, lo, lo+f-1 from p
+      union all select chunk_no+1, planned_size-step, up+1, (up+1)+(planned_size-step)-1 from s, p where up<hi), {_RC}""",
+    "quadratic": f"""with recursive {_RB}, k as (select *, d0/16::double f, greatest(0.01::double*d0,1) l from b), k2 as (select *, (f+l)/2::double m from k), k3 as (select *, 6*d0/(4*m+l+f) n from k2),
+      p as (select *, (4*m-l-3*f)/n bb, (2*f+2*l-4*m)/(n*n) cc from k3), s(chunk_no, planned_size, low, up) as (select 1, f, lo, lo+f-1 from p
+      union all select chunk_no+1, g, up+1, (up+1)+g-1 from (select chunk_no, up, p.hi, greatest(f+bb*(chunk_no+1)+cc*((chunk_no+1)*(chunk_no+1)),1) g from s, p where up<p.hi)), {_RC}""",
+}
+_REAL_ROWS = " select chunk_no::int chunk_no, planned_size+0::double planned_size, low, up, count(o_totalprice)::bigint n_rows, min(o_totalprice) least, max(o_totalprice) most from {0} left join orders on o_totalprice between low and up group by all"
+for _name, _sql in _REAL.items():
+    query(_sql + _REAL_ROWS.format("c"), f"chunk_double_{_name}")(lambda spark, d, n=_name: chunks.aggregate_real(read(spark, d, "orders"), "o_totalprice", n, NODES))
+query(_REAL["guided"] + ", r as (select chunk_no, planned_size, (select lo+hi from b)-up low, (select lo+hi from b)-low up from c)" + _REAL_ROWS.format("r"), "chunk_double_reverse_guided")(
+    lambda spark, d: chunks.aggregate_real(read(spark, d, "orders"), "o_totalprice", "guided", NODES, reverse=True)
+)
+query(
+    f"with {_RB}, f as (select lo::float lo, hi::float hi, hi::float-lo::float d from b), c as (select i chunk_no, d planned_size, case when i=1 then lo else lo+(d/8::float*(i-1)::float+1::float) end low, "
+    "case when i=8 then hi else lo+d/8::float*i::float end up from f, (select unnest(range(1,9)) i)) select chunk_no::int chunk_no, planned_size::double planned_size, low::double low, up::double up, count(o_totalprice)::bigint n_rows, "
+    "min(o_totalprice) least, max(o_totalprice) most from c left join orders on o_totalprice between low::double and up::double group by all",
+    "chunk_float_equal",
+)(lambda spark, d: chunks.aggregate_real(read(spark, d, "orders"), "o_totalprice", "equal", NODES, single=True))
+
+
 @query(
     "select strategy, bool_and(ok) non_increasing, count(*)::bigint n_chunks from (select *, coalesce(planned_size <= lag(planned_size) over (partition by strategy order by chunk_no), true) ok from ("
     + " union all ".join(f"select '{n}' strategy, chunk_no, planned_size from ({s} select * from c)" for n, s in (("equal", _EQUAL), ("guided", _GUIDED), ("factoring", _FACTORING), ("trapezoid", _TRAPEZOID), ("quadratic", _QUADRATIC)))
@@ -126,25 +159,34 @@ def task_schedule_summary(spark, sf_dir):
     return scheduling.summary(nodes, scheduling.RoundRobin().schedule(nodes, tasks_))
 
 
-@query()
+@query(
+    """with recursive p as (select n nodes, 1001//(2*n) f, 100 l from range(2,26) r(n)), g as (select nodes, (i-100000)/10000::double delta, f, l from p, range(0,200000) t(i) where i<>100000),
+  gm as (select nodes, delta, floor((f+l)/delta)::bigint m from g), q as (select distinct gm.nodes, m, f, 4*m+l+f w, 4*m-l-3*f x, 2*f+2*l-4*m y from gm join p using (nodes)),
+  q2 as (select *, trunc(6006/w::double)::bigint n from q where w<>0), q3 as (select *, trunc(x/n::double)::bigint b, trunc(y/(n*n)::double)::bigint c from q2 where n<>0),
+  s as (select nodes, m, f, b, c, 1 i, f size, f done, true ok from q3
+    union all select nodes, m, f, b, c, i+1, least(g, 1002-done), done+g, least(g, 1002-done)<=size from (select *, greatest(f+b*(i+1)+c*(i+1)*(i+1), 1) g from s where ok and done<=1001 and i<5*nodes)),
+  k as (select nodes, m, i n_chunks from s where ok and done>1001 and i<5*nodes), a as (select nodes, delta, n_chunks, lag(n_chunks, 1, 0) over (order by nodes, delta) before from gm join k using (nodes, m))
+  select nodes::int nodes, delta, n_chunks::int n_chunks from a where n_chunks <> before"""
+)
 def qss_delta_sweep(spark, sf_dir):
     return chunks.delta_sweep(spark)
 
 
 @query(
-    "with o as (select c_mktsegment task, count(*) n from customer group by 1), s as (select count(*) nodes from supplier) "
-    "select cast(8 as bigint) total_chunks, (select nodes from s)::bigint total_nodes, (select count(*) from o)::bigint total_tasks, least(8, (select nodes from s))::bigint selected_nodes"
+    f"{_EQUAL}, n as (select s_suppkey node, row_number() over (order by s_suppkey)-1 k, count(*) over () m from supplier), a as (select chunk_no, node from c join n on (chunk_no-1)%m=k) "
+    "select (select count(*) from supplier)::bigint total_nodes, count(*)::bigint total_chunks, count(distinct node)::bigint selected_nodes, ((select count(*) from supplier)-count(distinct node))::bigint backup_nodes from a"
 )
 def schedule_summary(spark, sf_dir):
-    nodes = read(spark, sf_dir, "supplier").agg(F.count("*").alias("total_nodes"))
-    task = read(spark, sf_dir, "customer").agg(F.count_distinct("c_mktsegment").alias("total_tasks"))
-    return nodes.select(F.lit(NODES).cast("long").alias("total_chunks"), "total_nodes", task.scalar().alias("total_tasks"), F.least(F.lit(NODES).cast("long"), "total_nodes").alias("selected_nodes"))
+    """The equal chunks of the order keys, dealt to the suppliers."""
+    nodes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    plan = chunks.chunks(spark, "equal", *chunks.bounds(read(spark, sf_dir, "lineitem"), "l_orderkey"), NODES)
+    return scheduling.summary(nodes, scheduling.RoundRobin().schedule(nodes, plan.withColumn("id", F.col("chunk_no") - 1)))
 
 
 @query("select l_orderkey, l_linenumber, l_quantity, l_partkey from lineitem where l_quantity >= 50 order by l_orderkey, l_linenumber, l_partkey limit 1")
 def stop_early(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    return rows.where("l_quantity >= 50").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(1)
+    return objects.first_hit(rows, "l_quantity >= 50", "l_orderkey", "l_linenumber", "l_partkey")
 
 
 # ---- tiles -------------------------------------------------------------------------------------------------------
@@ -187,6 +229,19 @@ def tile_coverage(spark, sf_dir):
     return out
 
 
+_NUMBERED = f"""n as (select chunk_no::int chunk_no, tile::bigint tile, x::bigint x, y::bigint y, width::bigint width, height::bigint height from (select unnest(range(0, 12)) chunk_no) join ({_GRID_SQL.format(values='(640,480,4,3,0)')}) on tile=chunk_no)"""
+
+
+@query(f"with {_NUMBERED} select * from n")
+def tile_for(spark, sf_dir):
+    """The tile of every chunk number of a loop, looked up one by one and by a join."""
+    grid = tiles.for_chunks(spark, 640, 480, 12)
+    for k in range(12):
+        if tiles.tile_for(grid, k).first().tile != k:
+            raise ValueError(f"the tile of chunk {k} is another one")
+    return tiles.tiles_for(grid, spark.range(12).select(F.col("id").cast("int").alias("chunk_no"))).select("chunk_no", "tile", "x", "y", "width", "height")
+
+
 @query(f"select tile::bigint tile, (width*height)::bigint area, (x-read_x)::bigint halo_left, (y-read_y)::bigint halo_top from ({_READ_SQL.format(grid=_GRID_SQL.format(values='(64,500,1,12,1)'))})")
 def tile_measures(spark, sf_dir):
     return tiles.measures(tiles.for_chunks(spark, 64, 500, 12, 1))
@@ -221,6 +276,14 @@ def tile_roundtrip(spark, sf_dir):
     return tiles.write_pixels(cut, w, h, 4, 3).select("y", "x", "p")
 
 
+@query(f"with {_RASTER} select y, x, p::int p from px")
+def tile_merge(spark, sf_dir):
+    """The raster put together again after a check that no tile is missing."""
+    pixels, w, h = raster(spark, sf_dir)
+    cut = tiles.read_pixels(pixels, w, h, 4, 3, 2)
+    return tiles.merge(tiles.grid(spark, w, h, 4, 3, 2), cut, w, h, 4, 3).select("y", "x", "p")
+
+
 @query(f"with {_RASTER}, {_TILED} select tile::bigint tile, x::bigint x, y::bigint y, width::bigint width, height::bigint height from tl where tile in (2, 7)")
 def tile_missing(spark, sf_dir):
     pixels, w, h = raster(spark, sf_dir)
@@ -265,6 +328,15 @@ for _name, _sql in _KERNEL_SQL.items():
             return kernels.apply_tiled(pixels, n, w, h, 2, max(1, h // 256))
 
         query(_sql, f"k_{_name}_tiled")(_tiled)
+        query(_sql, f"k_{_name}_joined")(lambda spark, d, n=_name: kernels.apply_joined(raster(spark, d)[0], n))
+
+
+@query("select * from (values ('INVERT','invert'),('Blur3','blur3'),('sobel','sobel'),('GrayScale','grayscale'),('SHARPEN','sharpen'),('emboss',null),('',null)) k(asked, found)")
+def kernel_lookup(spark, sf_dir):
+    """Kernels by name, whatever the case; unknown names have none."""
+    found = [(n, kernels.find(n)) for n in ("INVERT", "Blur3", "sobel", "GrayScale", "SHARPEN", "emboss", "")]
+    return spark.createDataFrame([(n, k and k.name) for n, k in found], "asked string, found string")
+
 
 # ---- devices -----------------------------------------------------------------------------------------------------
 
@@ -306,17 +378,12 @@ def device_best_of_type(spark, sf_dir):
     return devices.best(device_rows(spark, sf_dir), "type")
 
 
-@query(f"with {_DEV} select string_agg(backend||':'||name||' ('||type||', '||units||' CUs, '||(memory>>20)||' MB)', chr(10) order by ordinal) description from d where ordinal < 50")
-def device_describe(spark, sf_dir):
-    return devices.describe(device_rows(spark, sf_dir).where("ordinal < 50"))
-
-
-#: Devices in one description of device_describe_all at most, as ordinals are unique.
+#: Devices in one description of device_describe at most, as ordinals are unique.
 DESCRIBED = 1000
 
 
 @query(f"with {_DEV} select (ordinal // {DESCRIBED})::bigint block, string_agg(backend||':'||name||' ('||type||', '||units||' CUs, '||(memory>>20)||' MB)', chr(10) order by ordinal) description from d group by 1")
-def device_describe_all(spark, sf_dir):
+def device_describe(spark, sf_dir):
     """Every device; in order of block, the descriptions are the one of all devices."""
     return devices.describe(device_rows(spark, sf_dir).withColumn("block", F.floor(F.col("ordinal") / DESCRIBED)), "block")
 
@@ -420,7 +487,7 @@ def ip_map_ops(spark, sf_dir):
 
 @query("select user_id, sum(case when event_type='error' then -1 else 1 end)::bigint ping_score from events group by user_id")
 def ip_ping_score(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "error", -1).otherwise(1)).alias("ping_score"))
+    return network.ping_scores(read(spark, sf_dir, "events"), F.col("event_type") != "error", "user_id")
 
 
 def node_json_rows(spark, sf_dir):
@@ -444,8 +511,74 @@ def node_scores(spark, sf_dir):
     return node_json_rows(spark, sf_dir).select("s_suppkey", network.cpu_score(F.col("benchmarks")).alias("cpu_score"), network.speed(F.col("benchmarks")).alias("read_speed"))
 
 
+_ENTITIES = """select 'address' entity, s_suppkey id, to_json({'ip': '10.0.0.'||s_suppkey, 'distance': s_nationkey, 'pingScore': s_suppkey%7})::varchar json from supplier
+  union all select 'node', s_suppkey, to_json({'uuid': s_suppkey::varchar, 'task_limit': 4, 'waiting_in_que': s_nationkey, 'operatingSytem': 'linux', 'hostname': s_name, 'memory': s_suppkey*1024, 'ipAddresses': [{'ip': '10.0.0.'||s_suppkey, 'distance': s_nationkey, 'pingScore': s_suppkey%7}]})::varchar from supplier
+  union all select 'coverage', p_partkey, to_json({'path': p_name, 'beginLine': 1, 'beginColumn': 0, 'endLine': p_size, 'endColumn': p_partkey%80})::varchar from part
+  union all select 'chunk', chunk_no, to_json({'chunkNo': chunk_no::varchar, 'start': low::varchar, 'end': up::varchar, 'nodeUUID': (chunk_no%3)::varchar, 'diff': planned_size::varchar, 'duplicates': []::varchar[]})::varchar from c
+  union all select 'task', o_orderkey, to_json({'id': o_orderkey, 'nodeUUID': (o_custkey%5)::varchar, 'name': o_orderstatus, 'length': o_custkey::double, 'timeout': 1000, 'resources': ['cpu'], 'dependOn': [(o_orderkey%9)::varchar], 'startTime': 0.5::double, 'hasDuplicates': false, 'isDuplicate': o_orderkey%3=0})::varchar from orders"""
+
+
+@query(_EQUAL + " " + _ENTITIES)
+def entity_json(spark, sf_dir):
+    """Addresses, nodes, coverage, chunks and tasks as JSON."""
+    key = F.col("s_suppkey")
+    address = F.struct(F.concat(F.lit("10.0.0."), key.cast("string")).alias("ip"), F.col("s_nationkey").alias("distance"), (key % 7).alias("pingScore"))
+    suppliers = read(spark, sf_dir, "supplier").select(key.alias("id"), "s_name", "s_nationkey", address.alias("address"))
+    node = suppliers.select("id", F.col("id").cast("string").alias("uuid"), F.lit(4).alias("task_limit"), F.col("s_nationkey").alias("waiting_in_que"), F.lit("linux").alias("operatingSytem"), F.col("s_name").alias("hostname"), (F.col("id") * 1024).alias("memory"), F.array("address").alias("ipAddresses"))
+    coverage = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("path"), F.lit(1).alias("beginLine"), F.lit(0).alias("beginColumn"), F.col("p_size").alias("endLine"), (F.col("p_partkey") % 80).alias("endColumn"))
+    plan = chunks.chunks(spark, "equal", *chunks.bounds(read(spark, sf_dir, "lineitem"), "l_orderkey"), NODES)
+    no = F.col("chunk_no")
+    chunk = plan.select(no.alias("id"), *(c.cast("string").alias(n) for c, n in ((no, "chunkNo"), (F.col("low"), "start"), (F.col("up"), "end"), (no % 3, "nodeUUID"), (F.col("planned_size"), "diff"))), F.array().cast("array<string>").alias("duplicates"))
+    o = F.col("o_orderkey")
+    task = read(spark, sf_dir, "orders").select(
+        o.alias("id"), (F.col("o_custkey") % 5).cast("string").alias("node"), F.col("o_orderstatus").alias("name"), F.col("o_custkey").cast("decimal(38,18)").alias("length"), F.lit(1000).cast("decimal(38,0)").alias("timeout"), F.array(F.lit("cpu")).alias("resources"),
+        F.array((o % 9).cast("string")).alias("depends_on"), F.lit(0.5).alias("start_time"), F.array().cast("array<string>").alias("duplicates"), F.when(o % 3 == 0, "t").alias("duplicate_of"),
+    )
+    own = lambda name, rows: rows.select(F.lit(name).alias("entity"), F.col("id").cast("long").alias("id"), "json")
+    out = own("address", network.to_json(suppliers.select("id", "address.*"), "id", keep=()))
+    for name, rows in (("node", node), ("coverage", coverage), ("chunk", chunk)):
+        out = out.unionByName(own(name, network.to_json(rows, "id", keep=())))
+    return out.unionByName(own("task", tasks.to_json(task, "id")))
+
+
 # ---- orders ------------------------------------------------------------------------------------------------------
 
+_SCORES = {"CPU_MONTE_CARLO": "Monte Carlo", "CPU_FFT": "FFT", "CPU_LU": "LU", "CPU_SOR": "SOR", "CPU_SPARSE_MAT_MUL": "Sparse MatMult", "CPU_COMPOSITE_SCORE": "Composite Score"}
+#: For each sort key a value of a supplier: the same expression in both languages.
+_NODE_VALUES = {
+    "UUID": ("uuid", "s_name"), "OS": ("os", "concat('os', s_suppkey % 3)"), "HOST": ("host", "concat('host', s_suppkey * 29 % 97)"), "QLEN": ("task_limit", "s_suppkey % 5"), "QWAIT": ("waiting", "s_suppkey % 3"), "RAM": ("memory", "s_suppkey * 7919 % 1000"),
+    "RAM_FREE": ("free_memory", "s_suppkey * 104729 % 1000"), "DISTANCE_FROM_CURRENT": ("distance", "s_suppkey * 31 % 17"), "HDD_FREE": ("hdd_free", "s_suppkey * 37 % 101"), "HDD": ("hdd_size", "s_suppkey * 41 % 103"), "CPU_AVG_LOAD": ("cpu_load", "s_acctbal"),
+    "PROCESSOR": ("processor", "substr(s_name, length(s_name) - 1)"), "HDD_READ_SPEED": ("read_speed", "s_suppkey * 43 % 107"), "HDD_WRITE_SPEED": ("write_speed", "s_suppkey * 47 % 109"),
+    **{k: (v, f"s_suppkey * {53 + 6 * i} % {113 + 14 * i}") for i, (k, v) in enumerate(_SCORES.items())},
+}
+_TASK_VALUES = {
+    "NAME": "o_orderpriority", "NO_OF_FILES": "(o_orderkey * 7 % 4)", "WEIGHT": "o_totalprice", "TIMEOUT": "(o_orderkey * 31 % 1009)", "ID": "o_orderkey", "NO_OF_RESOURCES": "(o_orderkey * 11 % 6)", "START_TIME": "(o_orderkey * 17 % 503)", "NO_OF_DEPENDENCIES": "(o_orderkey * 13 % 5)",
+}
+
+
+@query("select s_suppkey as \"key\", " + ", ".join(f"cast(row_number() over (partition by s_nationkey order by {sql}, s_suppkey) as int) position_{k.lower()}" for k, (_, sql) in _NODE_VALUES.items()) + " from supplier")
+def node_sort_keys(spark, sf_dir):
+    """Every sort key of a node: suppliers of a nation in its order."""
+    made = {k: F.expr(sql) for k, (_, sql) in _NODE_VALUES.items()}
+    plain = [made[k].alias(name) for k, (name, _) in _NODE_VALUES.items() if k not in _SCORES and not k.endswith("_SPEED")]
+    score = F.struct(*[made[k].cast("string").alias(v) for k, v in _SCORES.items()])
+    disk = F.struct(*[F.format_string("%d MB/s", made[k]).alias(n) for k, n in (("HDD_READ_SPEED", "AvgRead"), ("HDD_WRITE_SPEED", "AvgWrite"))])
+    bench = F.to_json(F.struct(F.struct(score.alias("Benchmarks")).alias("CPU"), F.struct(disk.alias("Benchmarks")).alias("HDD")))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_nationkey", *plain, bench.alias("benchmarks"))
+    return ordering.positions(rows, ordering.node_keys(), "key", "s_nationkey").select("key", *(f"position_{k.lower()}" for k in _NODE_VALUES))
+
+
+@query("select o_orderkey as \"key\", " + ", ".join(f"cast(row_number() over (partition by o_custkey order by {sql}, o_orderkey) as int) position_{k.lower()}" for k, sql in _TASK_VALUES.items()) + " from orders")
+def task_sort_keys(spark, sf_dir):
+    """Every sort key of a task: orders of a customer in its order."""
+    made = {k: F.expr(sql) for k, sql in _TASK_VALUES.items()}
+    many = lambda k: F.slice(F.array(*map(F.lit, "abcdef")), F.lit(1), made[k].cast("int"))
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key"), "o_custkey", made["NAME"].alias("name"), many("NO_OF_FILES").alias("files"), made["WEIGHT"].alias("length"), made["TIMEOUT"].alias("timeout"), made["ID"].alias("id"),
+        many("NO_OF_RESOURCES").alias("resources"), made["START_TIME"].cast("double").alias("start_time"), many("NO_OF_DEPENDENCIES").alias("depends_on"),
+    )
+    return ordering.positions(rows, ordering.task_keys(), "key", "o_custkey").select("key", *(f"position_{k.lower()}" for k in _TASK_VALUES))
+
 
 @query("select s_suppkey uuid, cast(row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) as int) as position from supplier")
 def node_sort(spark, sf_dir):
@@ -466,12 +599,6 @@ def hop_sort(spark, sf_dir):
     return ordering.ranked(network.upsert_hops(hop_rows(spark, sf_dir)), ordering.comparator(keys, "DISTANCE", "-TIMESTAMP", "VIA"), "dst").select("dst", "via", "position")
 
 
-@query("select s_suppkey, cast(row_number() over (order by s_nationkey, s_acctbal desc, s_suppkey) as int) as position from supplier order by s_nationkey, s_acctbal desc, s_suppkey limit 50")
-def ip_sort_top(spark, sf_dir):
-    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("ip"), F.col("s_nationkey").alias("distance"), F.col("s_acctbal").alias("ping_score"))
-    return ordering.top(rows, ordering.comparator(ordering.ip_keys(), "DISTANCE", "-PING_SCORE", "IP"), 50).select("s_suppkey", "position")
-
-
 @query("select s_suppkey, row_number() over (order by s_nationkey, s_acctbal desc, s_suppkey) as position from supplier")
 def ip_sort(spark, sf_dir):
     rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("ip"), F.col("s_nationkey").alias("distance"), F.col("s_acctbal").alias("ping_score"))
@@ -483,9 +610,16 @@ def merge_sort_runs(spark, sf_dir):
     return ordering.global_ranks(read(spark, sf_dir, "lineitem").select("l_partkey"), "l_partkey")
 
 
-@query("select l_orderkey, l_partkey from lineitem")
+@query("select l_orderkey, l_partkey, row_number() over (order by l_orderkey, l_partkey) as position from lineitem")
 def merge_sort_ranges(spark, sf_dir):
-    return ordering.range_sort(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
+    """The range sort's rows with the places that they have in its output."""
+    return ordering.as_sorted(ordering.range_sort(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey"))
+
+
+@query("select k, count(*)::bigint n from (select o_custkey k from orders union all select c_custkey from customer union all select s_suppkey from supplier) group by k")
+def bag_union(spark, sf_dir):
+    parts = [read(spark, sf_dir, t).select(F.col(c).alias("k")) for t, c in (("orders", "o_custkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"))]
+    return ordering.bag_union(*parts).groupBy("k").agg(F.count("*").alias("n"))
 
 
 _TREE = tasks.merge_tree(20).tasks
@@ -504,9 +638,10 @@ def task_duplicates(spark, sf_dir):
     key = F.col("o_orderkey")
     rows = read(spark, sf_dir, "orders").select(
         key.alias("name"), F.when(key % 3 == 0, F.lit("t")).alias("duplicate_of"), F.when(key % 5 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("duplicates"),
-        F.array_union(F.array(F.lit("cpu")), F.array(F.when(key % 2 == 0, "cpu").otherwise("disk"))).alias("resources"),
+        F.array(F.lit("cpu")).alias("resources"), F.when(key % 2 == 0, "cpu").otherwise("disk").alias("wanted"),
     )
-    return tasks.is_duplicate(rows).join(rows.select("name", F.size("resources").alias("n_resources")), "name").withColumnRenamed("name", "id")
+    rows = tasks.with_resources(rows, F.array("wanted"))
+    return tasks.is_duplicate(rows, F.size("resources").alias("n_resources")).withColumnRenamed("name", "id")
 
 
 # ---- objects -----------------------------------------------------------------------------------------------------
@@ -527,26 +662,56 @@ def array_upsert(spark, sf_dir):
     return objects.last_write(read(spark, sf_dir, "conversations"), ["conv_id", "role"], "text", "turn")
 
 
+@query("select conv_id, role, arg_max(text, turn) as text, max(turn) turn from conversations group by conv_id, role")
+def element_append(spark, sf_dir):
+    """Elements appended by two writers, odd and even turns; readers take the last write of each key."""
+    path = f"{objects.shared_folder(spark)}/elements-{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "conversations").select(F.lit("talk").alias("object"), F.col("conv_id").alias("instance"), F.col("role").alias("position"), F.col("text").alias("value"), F.col("turn").alias("seq"))
+    for odd in (1, 0):
+        objects.append_elements(rows.where(F.col("seq") % 2 == odd), path)
+    last = objects.last_write(spark.read.parquet(path), ["object", "instance", "position"], "value", "seq")
+    return last.select(F.col("instance").alias("conv_id"), F.col("position").alias("role"), F.col("value").alias("text"), F.col("seq").alias("turn"))
+
+
+@query("select n_name as text, length(n_name)::int n_chars from nation")
+def text_roundtrip(spark, sf_dir):
+    """Text files written and read as whole files, their lines as rows."""
+    path = f"{objects.shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    files.write_text(read(spark, sf_dir, "nation"), "n_name", path)
+    lines = files.read_texts(spark, path).select(F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
+    return lines.select("text", F.length("text").alias("n_chars"))
+
+
 @query("select conv_id, turn, text from conversations where conv_id=3 and turn=1")
 def array_get(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select(F.lit("talk").alias("object"), F.col("turn").cast("string").alias("position"), F.col("conv_id").cast("int").alias("instance"), "conv_id", "turn", "text")
     return objects.element(rows, "talk", "1", 3).select("conv_id", "turn", "text")
 
 
+@query("select doc_id, length(coalesce(text, ''))::int n_chars from documents")
+def object_received(spark, sf_dir):
+    """Documents published as an object, received once their checksums agree."""
+    store = objects.ObjectStore(spark, f"{objects.shared_folder(spark)}/objects-{uuid.uuid4().hex}")
+    store.publish(read(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars")), "documents", 0)
+    return store.receive("documents", 0, tries=1)
+
+
 @query("select n_nationkey id, replace(replace(n_name, 'FRANCE', 'width'), 'CHINA', 'height') as name, case when n_nationkey<3 then '8' else 'old' end as value from nation")
 def val_resolve(spark, sf_dir):
-    values = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("old").alias("value"))
+    values = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("old").alias("value"), F.col("n_regionkey").alias("call"))
     updates = spark.createDataFrame([(i, "8") for i in range(3)], "id int, value string")
     expressions = spark.createDataFrame([(1, "france", "width"), (2, "China", "height"), (3, "FRANCE", "never")], "ordinal int, string string, right string")
-    return objects.resolve_names(objects.update_values(values, updates), expressions)
+    return objects.resolve_names(objects.update_values(values, updates), expressions, "call").drop("call")
 
 
 @query("select o_orderkey::int id, case when o_orderkey%2=0 then o_custkey else 0 end::bigint \"startTime\", case when o_orderkey%3=0 then 7 else 0 end::bigint length from orders")
 def json_to_csv_projection(spark, sf_dir):
-    key = F.col("o_orderkey")
-    wire = read(spark, sf_dir, "orders").select(F.to_json(F.struct(key.alias("id"), F.when(key % 2 == 0, F.col("o_custkey")).alias("startTime"), F.when(key % 3 == 0, F.lit(7)).alias("length"))).alias("j"))
-    rows = wire.select(F.from_json("j", files.TRACE).alias("t")).select("t.*")
-    return rows.select("id", F.coalesce("startTime", F.lit(0).cast("long")).alias("startTime"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+    """Files of JSON arrays of tasks, projected into CSV files and read back."""
+    key, folder = F.col("o_orderkey"), f"{objects.shared_folder(spark)}/trace-{uuid.uuid4().hex}"
+    task = F.struct(key.alias("id"), F.when(key % 2 == 0, F.col("o_custkey")).alias("startTime"), F.when(key % 3 == 0, F.lit(7)).alias("length"))
+    files.write_json_arrays(read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 10000").alias("file"), task.alias("task")), "file", "task", f"{folder}/json")
+    files.write_csv(files.task_trace(spark, f"{folder}/json"), f"{folder}/csv")
+    return files.read_csv(spark, f"{folder}/csv", files.TRACE)
 
 
 # ---- telemetry ---------------------------------------------------------------------------------------------------
@@ -567,6 +732,17 @@ def cache_stats_windowed(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(f"with {_TOLD} select *, {_SPEED} from (select date_trunc('hour', ts) window_start, {_STATS} from t group by 1)")
+def cache_stats_streamed(spark, sf_dir):
+    """The windows of a stream over all events; every batch replaces the table that the sink keeps."""
+    folder = f"{objects.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = read(spark, sf_dir, "events")
+    events.write.parquet(f"{folder}/in")
+    stream = telemetry.cache_stats_windowed(telemetry.commands(spark.readStream.schema(events.schema).parquet(f"{folder}/in")))
+    out = telemetry.into_table(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query(f"with {_TOLD} select command, user_id::varchar pid, n_bytes size, ms comm_oh, ts from t")
 def telemetry_wire(spark, sf_dir):
     lines = telemetry.to_wire(telemetry.commands(read(spark, sf_dir, "events")))
@@ -586,6 +762,25 @@ def device_unavailable_reason(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), devices.unavailable_reason(backend, os).alias("reason"))
 
 
+@query(
+    "with r(backend, ordinal, reason) as (values ('CUDA',0,'cuda: no driver is probed'),('BROKEN',1,'BROKEN failed: no library'),('EMPTY',2,'EMPTY has no devices')) "
+    f"select backend, ordinal::int ordinal, false available, reason, 0::bigint n_devices from r union all select 'PARTS', 3, true, null, (select count(*) from part)"
+)
+def device_registry(spark, sf_dir):
+    """Registered backends, two of which can't be used: none of them may throw."""
+
+    def broken():
+        raise OSError("no library")
+
+    registry = devices.Registry()
+    registry.register("CUDA", lambda: None)
+    registry.register("BROKEN", broken)
+    registry.register("EMPTY", lambda: device_rows(spark, sf_dir).limit(0))
+    registry.register("PARTS", lambda: device_rows(spark, sf_dir))
+    sizes = registry.devices(spark).groupBy(F.col("registered").alias("backend")).agg(F.count("*").alias("n"))
+    return registry.backends(spark).join(sizes, "backend", "left").select("backend", "ordinal", "available", "reason", F.coalesce("n", F.lit(0).cast("long")).alias("n_devices"))
+
+
 @query("select user_id, event_id, event_type, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from events) where k=1")
 def node_liveness(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")

@@ -7,7 +7,7 @@ a join with the nine neighbours, and numpy over tiles with a halo. Kernels are l
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -137,6 +137,8 @@ class Kernel:
     numpy: Callable[[np.ndarray], np.ndarray]
     point: Callable[[Column], Column] | None = None
     stencil: Callable[[DataFrame], DataFrame] | None = None
+    #: An aggregate of a pixel's neighbours, given their value and their offsets.
+    joined: Callable[[Column, Column, Column], Column] | None = None
 
 
 KERNELS: dict[str, Kernel] = {}
@@ -156,8 +158,13 @@ for _k in (
     register(_k)
 
 
+def find(name: str) -> Kernel | None:
+    """The kernel of a name, whatever its case; None if there isn't one."""
+    return KERNELS.get(name.lower())
+
+
 def by_name(name: str) -> Kernel:
-    """The kernel of a name, whatever its case."""
+    """As find(), but an unknown name is an error."""
     if name.lower() not in KERNELS:
         raise ValueError(f"unknown kernel {name!r}; known: {', '.join(sorted(KERNELS))}")
     return KERNELS[name.lower()]
@@ -171,6 +178,41 @@ def apply(pixels: DataFrame, name: str) -> DataFrame:
     return kernel.stencil(_vertical(pixels.select("y", "x", "p")))
 
 
+def apply_joined(pixels: DataFrame, name: str) -> DataFrame:
+    """The same as a relational stencil: every pixel names its nine neighbours (at an edge the nearest pixel there is),
+    meets them in an equi-join on their place, and is one aggregate of them."""
+    kernel = by_name(name)
+    if kernel.joined is None:
+        raise ValueError(f"{name} has no relational form")
+    size = pixels.agg(F.max("y"), F.max("x")).first()
+    if size[0] is None:
+        return pixels.select("y", "x", "p")
+    near = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    place = lambda c, d, most: F.least(F.greatest(F.col(c) + d, F.lit(0).cast("long")), F.lit(most).cast("long"))
+    wanted = [F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), place("y", dy, size[0]).alias("ny"), place("x", dx, size[1]).alias("nx")) for dy, dx in near]
+    asked = pixels.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).select("y", "x", F.explode(F.array(*wanted)).alias("w")).select("y", "x", "w.*")
+    source = pixels.select(F.col("y").cast("long").alias("ny"), F.col("x").cast("long").alias("nx"), "p")
+    return asked.join(source, ["ny", "nx"]).groupBy("y", "x").agg(kernel.joined(F.col("p"), F.col("dy"), F.col("dx")).alias("p"))
+
+
+def _joined_blur(p: Column, dy: Column, dx: Column) -> Column:
+    return rgb(*(F.floor(F.sum(channel(p, s)) / 9) for _, s in CHANNELS))
+
+
+def _joined_sharpen(p: Column, dy: Column, dx: Column) -> Column:
+    weight = F.when((dy == 0) & (dx == 0), 5).when((dy == 0) | (dx == 0), -1).otherwise(0)
+    return rgb(*(clamp(F.sum(channel(p, s) * weight)) for _, s in CHANNELS))
+
+
+def _joined_sobel(p: Column, dy: Column, dx: Column) -> Column:
+    gx, gy = F.sum(dx * (2 - F.abs(dy)) * luma(p)), F.sum(dy * (2 - F.abs(dx)) * luma(p))
+    return grey(clamp(F.abs(gx) + F.abs(gy)))
+
+
+for _name, _form in (("blur3", _joined_blur), ("sharpen", _joined_sharpen), ("sobel", _joined_sobel)):
+    register(replace(KERNELS[_name], joined=_form))
+
+
 def apply_tiled(pixels: DataFrame, name: str, width: int, height: int, columns: int, rows: int, halo: int = 1) -> DataFrame:
     """The same by numpy over tiles; stencils need a halo of 1 at least."""
     kernel = by_name(name)

@@ -70,6 +70,11 @@ def speed(benchmarks: Column, path: str = "$.HDD.Benchmarks.AvgRead") -> Column:
 NODE_WIRE = "struct<uuid:string,host:string,os:string,taskLimit:int,memory:bigint,lastCheckAgo:bigint,CPULOAD:double,ipAddresses:array<struct<ip:string,pingScore:bigint,distance:bigint>>>"
 
 
+def ping_scores(pings: DataFrame, ok: Column, *by: str) -> DataFrame:
+    """The score of each address: one up for each ping that came back, one down for each that didn't."""
+    return pings.groupBy(*by).agg(F.sum(F.when(ok, 1).otherwise(-1)).alias("ping_score"))
+
+
 def parse_nodes(rows: DataFrame, column: str, as_of_ms: Column) -> DataFrame:
     """Nodes of a JSON column: zones of addresses are dropped, a missing load is the largest double."""
     n = rows.select(F.from_json(column, NODE_WIRE).alias("n")).where("n.uuid is not null")
@@ -86,6 +91,8 @@ def latest(rows: DataFrame, key: str, at: str, ordinal: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(at, ordinal)).alias("r")).select(key, "r.*")
 
 
-def to_json(rows: DataFrame, *keys: str, pretty: bool = False) -> DataFrame:
-    """Rows of any entity as JSON objects in the column ``json``, beside the keys; null fields are left out."""
-    return rows.select(*keys, F.to_json(F.struct(*rows.columns), {"pretty": str(pretty).lower()}).alias("json"))
+def to_json(rows: DataFrame, *keys: str, pretty: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of any entity as JSON objects in the column ``json``, beside the keys; null fields are left out. Of the keys
+    those in ``keep`` (all, by default) are fields too."""
+    fields = [c for c in rows.columns if c not in keys or keep is None or c in keep]
+    return rows.select(*keys, F.to_json(F.struct(*fields), {"pretty": str(pretty).lower()}).alias("json"))

@@ -83,6 +83,37 @@ def range_sort(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def as_sorted(ordered: DataFrame) -> DataFrame:
+    """The rows of a range sort with ``position``: their place (from 1) in its output, range after range.
+
+    The ranges are written first; a row keeps its number within its range, and one count for each range shifts it.
+    """
+    part, row = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranges = written(ordered.withColumns({"_range": part, "_row": row}), "sorted")
+    before, start = {}, 0
+    for k, n in sorted(ranges.groupBy("_range").count().collect()):
+        before[k], start = start, start + n
+    if not before:
+        return ordered.withColumn("position", F.lit(1).cast("long"))
+    shift = F.element_at(F.create_map(*[F.lit(x) for k, s in before.items() for x in (k, s)]), F.col("_range"))
+    return ranges.withColumn("position", (shift + F.col("_row") + 1).cast("long")).drop("_range", "_row")
+
+
+def bag_union(*parts: DataFrame) -> DataFrame:
+    """All rows of all parts, as often as they occur."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def positions(df: DataFrame, keys: dict[str, Column], last: str, *by: str) -> DataFrame:
+    """For every key of ``keys`` a column position_<key>: each row's place (from 1) in its group by that key, ties by the
+    column ``last``. One exchange by the group serves them all."""
+    place = lambda k: F.row_number().over(Window.partitionBy(*by).orderBy(k.asc(), F.col(last).asc())).cast("int")
+    return df.select("*", *(place(k).alias(f"position_{name.lower()}") for name, k in keys.items()))
+
+
 def global_ranks(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
     """(key, first_rank, n): rank in the sorted bag of keys of each distinct key's first occurrence, from 1.
 

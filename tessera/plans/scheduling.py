@@ -38,7 +38,7 @@ class RoundRobin:
             self.errors.append("there are no nodes")
             return rows.withColumn("node", F.lit(None).cast(nodes.schema["node"].dataType))
         at = F.pmod(F.col(order).cast("long"), F.lit(n))
-        return rows.withColumn("_at", at).join(F.broadcast(numbered), "_at").drop("_at")
+        return rows.withColumn("_at", at).join(numbered, "_at").drop("_at")
 
     def schedule(self, nodes: DataFrame, tasks: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
         return self._deal(tasks, "id", nodes)

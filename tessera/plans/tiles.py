@@ -60,6 +60,11 @@ def tile_for(tiles: DataFrame, chunk_no: int) -> DataFrame:
     return tiles.where(F.col("tile") == chunk_no)
 
 
+def tiles_for(tiles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The tile of every chunk_no (from 0), so that a job over tiles can be dealt as a loop; numbers without a tile go."""
+    return chunks.join(tiles, F.col("chunk_no") == F.col("tile"))
+
+
 def _position(at: Column, total: int, parts: int) -> Column:
     """The part of a side that a coordinate falls in."""
     q, r = total // parts, total % parts

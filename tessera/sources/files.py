@@ -27,6 +27,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def write_json_arrays(rows: DataFrame, file: str, value: str, path: str) -> None:
+    """One JSON array in a file of its own for each value of the column ``file``: an array is bounded by its key."""
+    arrays = rows.groupBy(file).agg(F.to_json(F.array_sort(F.collect_list(value))).alias("value"))
+    arrays.repartition(F.col(file)).write.mode("overwrite").partitionBy(file).text(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(path, header=True)
+
+
 def task_trace(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of tasks; missing times are 0."""
     rows = read_json(spark, path, TRACE)

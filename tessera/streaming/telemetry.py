@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.network import EXPIRY_SECONDS
 
@@ -86,6 +87,29 @@ def live_routes(hops: DataFrame, seconds: int = EXPIRY_SECONDS) -> DataFrame:
     return grouped.applyInPandasWithState(run, schema, "distance long, ts long", "update", "EventTimeTimeout")
 
 
+def start(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream into a table in memory until stop()."""
+    return stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).start()
+
+
+def stop(query: StreamingQuery, seconds: int = 60) -> bool:
+    """Stop a running query early; whether it has ended within the time. What it has written stays."""
+    if query.isActive:
+        query.stop()
+    return not query.isActive or bool(query.awaitTermination(seconds))
+
+
+def into_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream of aggregates over all input that is there; the Parquet table at ``path`` is its whole result."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def available_now(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over all input that is there, and give the result as a table."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

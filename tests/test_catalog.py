@@ -27,13 +27,13 @@ def test_ranking(spark):
     df = spark.createDataFrame(rows, DEVICE)
     assert devices.best(df).first().id == "d" and devices.best(df.where("id <> 'd'")).first().id == "e"
     assert devices.best(df.limit(0)).collect() == []
-    assert devices.describe(df.limit(0)).first().description == "no devices"
+    assert devices.describe(df.limit(0)).first().description == "No compute devices detected"
     assert devices.describe(df.where("ordinal = 3")).first().description == "OPENCL:n (DISCRETE_GPU, 20 CUs, 4096 MB)"
 
 
 def test_every_device_is_described(spark, sf):
     sf = sf.replace("0.001", "0.1")
-    got = catalogue.QUERIES["device_describe_all"](spark, sf).orderBy("block").collect()
+    got = catalogue.QUERIES["device_describe"](spark, sf).orderBy("block").collect()
     rows = catalogue.device_rows(spark, sf)
     assert len(got) == 20 and max(r.description.count("\n") + 1 for r in got) == catalogue.DESCRIBED
     assert "\n".join(r.description for r in got) == devices.describe(rows).first().description
@@ -102,6 +102,108 @@ def test_store(spark, tmp_path):
     assert all(len(r.checksum) == 40 for r in store.manifest().collect())
     with pytest.raises(TimeoutError):
         store.receive("numbers", 1, sleep=0.01, tries=2)
+    assert [store.publish(spark.range(k)).rsplit("name=", 1)[1] for k in (1, 2)] == ["object-0/instance=0", "object-1/instance=0"]
+    assert store.receive("object-1", tries=1).count() == 2
+    assert {r.path.rsplit(".", 1)[1] for r in store.manifest("*.parquet").collect()} == {"parquet"}
+
+
+def test_half_written_and_damaged_objects(spark, tmp_path):
+    store = objects.ObjectStore(spark, str(tmp_path))
+    spark.range(5).write.parquet(store.path("half", 0))  # no manifest yet
+    with pytest.raises(TimeoutError):
+        store.receive("half", 0, sleep=0.01, tries=2)
+    path = store.publish(spark.range(100).coalesce(1), "bad", 0)
+    spark.range(3).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="differ"):
+        store.receive("bad", 0, sleep=0.01, tries=2)
+    store.publish(spark.range(8), "bad", 0)
+    assert store.receive("bad", 0, tries=1).count() == 8
+
+
+def test_ties_of_last_writes(spark):
+    rows = spark.createDataFrame([("k", "a", 1), ("k", "c", 2), ("k", "b", 2)], "key string, value string, seq int")
+    for df in (rows, rows.orderBy("value")):
+        assert objects.last_write(df, ["key"], "value", "seq").first().value == "c"
+
+
+def test_registry_never_raises(spark):
+    registry = devices.Registry()
+    assert registry.backends(spark).collect() == [] and registry.devices(spark).collect() == []
+    asked = []
+
+    def fails():
+        asked.append(1)
+        raise RuntimeError("boom")
+
+    registry.register("A", fails)
+    registry.register("B", lambda: devices.local(spark, cores=3, memory=1 << 30))
+    registry.register("LATE", lambda: devices.local(spark).withColumn("units", F.raise_error(F.lit("no")).cast("int")))
+    for _ in range(2):
+        rows = {r.backend: r for r in registry.backends(spark).collect()}
+    assert len(asked) == 1 and rows["A"].reason == "A failed: boom" and rows["B"].available and not rows["LATE"].available
+    found = registry.devices(spark).collect()
+    assert [(r.registered, r.id, r.units) for r in found] == [("B", "cpu:0", 3)] and devices.best(registry.devices(spark)).first().type == "CPU"
+    registry.register("A", lambda: None)
+    assert "no driver" in registry.backends(spark).where("backend = 'A'").first().reason
+
+
+def test_strict_devices(spark):
+    df = spark.createDataFrame([("a", " x "), (" ", "y")], "id string, name string").withColumn("vendor", F.lit(None).cast("string"))
+    assert [tuple(r) for r in devices.normalise(df).collect()] == [("a", "x", "Unknown vendor")]
+    with pytest.raises(Exception, match="needs an id"):
+        devices.normalise(df, strict=True).collect()
+
+
+def test_sections():
+    graph = tasks.TaskGraph()
+    with graph.parallel_for(0, 100, "equal") as loop:
+        graph.define("body", duration=2, resources=("cpu", "disk", "net"))
+    with graph.simulate() as outer:
+        graph.define("a", "body", duration=3)
+        with graph.simulate() as inner:
+            graph.define("b", duration=4)
+    assert loop["tasks"] == ["body"] and outer["tasks"] == ["a", "b"] and inner["tasks"] == ["b"] and inner["inside"] == outer["number"]
+    assert [r[2:4] for r in graph.chunks_of(loop, 2)] == [(0, 50), (51, 100)] and graph.simulated_length(outer) == 7
+    assert graph.prioritise("body", "net", "gpu").tasks["body"]["resources"] == ["net", "gpu", "cpu", "disk"]
+
+
+def test_large_graphs_are_levelled_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "SMALL", 1)
+    graph = tasks.TaskGraph().define("a").define("b", "a").define("c", "a", "b", "a").define("d", "gone").depend("d", "c")
+    assert {r.name: r.level for r in tasks.levels(graph.frame(spark)).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    with pytest.raises(ValueError, match="cycle"):
+        tasks.levels(graph.depend("a", "c").frame(spark))
+
+
+def test_positions_in_sorted_output(spark):
+    df = spark.range(500).select(F.expr("pmod(xxhash64(id), 90)").alias("k"), "id")
+    got = ordering.as_sorted(ordering.range_sort(df, "k", "id")).orderBy("position").collect()
+    assert [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in df.collect()) and [r.position for r in got] == list(range(1, 501))
+    unsorted = ordering.as_sorted(df.repartition(3)).orderBy("position").collect()
+    assert [(r.k, r.id) for r in unsorted] != sorted((r.k, r.id) for r in unsorted)
+    assert ordering.as_sorted(ordering.range_sort(df.limit(0), "k")).collect() == []
+    assert ordering.bag_union(df, df, df.limit(1)).count() == 1001
+
+
+def test_joined_stencils_of_small_rasters(spark):
+    from tessera.operators import kernels
+
+    for h, w in ((1, 1), (1, 5), (4, 1), (3, 4)):
+        a = np.random.default_rng(h * w).integers(0, 1 << 24, (h, w))
+        df = spark.createDataFrame([(y, x, int(a[y, x])) for y in range(h) for x in range(w)], "y long, x long, p int")
+        for name in ("blur3", "sharpen", "sobel"):
+            want = kernels.by_name(name).numpy(a)
+            assert {(r.y, r.x): r.p for r in kernels.apply_joined(df, name).collect()} == {(y, x): int(want[y, x]) for y in range(h) for x in range(w)}
+    assert kernels.apply_joined(df.limit(0), "blur3").collect() == []
+    with pytest.raises(ValueError):
+        kernels.apply_joined(df, "invert")
+
+
+def test_a_running_stream_can_be_stopped(spark, tmp_path):
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    query = telemetry.start(rate, "endless", str(tmp_path / "c"))
+    assert query.isActive
+    assert telemetry.stop(query, seconds=30) and not query.isActive and telemetry.stop(query)
 
 
 def test_names_are_resolved_in_order(spark):

@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +35,51 @@ def test_every_key_once(strategy, lo, hi, n, reverse):
     assert [r[0] for r in rows] == list(range(1, len(rows) + 1))
 
 
+def plain_real(strategy, lo, hi, n):
+    """The sizes of a loop over real numbers, one chunk after the other."""
+    d, out, low, i = hi - lo, [], lo, 1
+    while True:
+        if strategy == "guided":
+            size = max(math.ceil((hi - lo if i == 1 else d) / n), 1)
+            d -= size
+        else:
+            size = max(math.ceil(d / (2 * n)), 1)
+            d -= size * n * (i % n == 0)
+        up = low + size - 1
+        out.append((low, min(up, hi)))
+        if up >= hi:
+            return out
+        low, i = up + 1, i + 1
+
+
+@pytest.mark.parametrize("strategy", ["guided", "factoring"])
+@pytest.mark.parametrize("lo, hi, n", [(0.5, 1000.25, 4), (-20.0, 77.75, 3), (0.0, 5.0, 9)])
+def test_real_chunks(strategy, lo, hi, n):
+    got = chunks.schedule_real(strategy, lo, hi, n)
+    assert [(r[2], r[3]) for r in got] == plain_real(strategy, lo, hi, n)
+    back = chunks.schedule_real(strategy, lo, hi, n, reverse=True)
+    assert [(r[2], r[3]) for r in back] == [(lo + hi - up, lo + hi - low) for low, up in plain_real(strategy, lo, hi, n)]
+
+
+def test_golden_real_chunks():
+    assert [(r[2], r[3]) for r in chunks.schedule_real("equal", 0, 5, 2)] == [(0.0, 2.5), (3.5, 5.0)]
+    assert chunks.schedule_real("quadratic", 2, 2.5, 1) == [(1, 0.5, 2.0, 2.5)]
+    single = chunks.schedule_real("equal", 0, 1, 3, single=True)
+    assert single[0][3] == float(np.float32(1) / np.float32(3)) != 1 / 3
+    tss = chunks.schedule_real("trapezoid", 0, 1000, 4)
+    assert [round(a[1] - b[1], 6) for a, b in zip(tss, tss[1:])] == [round(tss[0][1] - tss[1][1], 6)] * (len(tss) - 1) and tss[-1][3] == 1000
+    for bad in (("trapezoid", 0.5, 1000.25, 4, {"first": 0.2, "last": 0.02}), ("quadratic", 0, 10, 2, {"delta": 0}), ("nothing", 0, 1, 2, {}), ("equal", 0, float("nan"), 2, {}), ("equal", 1, 0, 2, {})):
+        with pytest.raises(ValueError):
+            chunks.schedule_real(*bad[:4], **bad[4])
+
+
+def test_real_aggregate_with_odd_keys(spark):
+    keys = [0.0, 2.5, 2.6, 3.5, 5.0, None, float("nan"), 3.4999]
+    got = chunks.aggregate_real(spark.createDataFrame([(k,) for k in keys], "k double"), "k", "equal", 2).orderBy("chunk_no").collect()
+    assert [(r.n_rows, r.least, r.most) for r in got] == [(2, 0.0, 2.5), (2, 3.5, 5.0)]
+    assert chunks.aggregate_real(spark.createDataFrame([], "k double"), "k", "equal", 2).collect()[0].n_rows == 0
+
+
 def test_bad_schedules():
     for call in (("trapezoid", 0, 1000, 4), ("nothing", 0, 1, 1), ("equal", 0, 1, 0), ("equal", 5, 1, 2)):
         with pytest.raises(ValueError):
@@ -138,3 +186,5 @@ def test_cut_and_merge(spark, w, h, c, r, halo):
     with pytest.raises(IndexError):
         tiles.tile_for(g, g.count())
     assert tiles.tile_for(g, 1).first().tile == 1
+    numbers = spark.createDataFrame([(0,), (1,), (g.count(),)], "chunk_no int")
+    assert sorted((r.chunk_no, r.tile) for r in tiles.tiles_for(g, numbers).collect()) == [(0, 0), (1, 1)]
