@@ -7,7 +7,8 @@ of its shingles. Documents with equal sets are one class, represented by its sma
    any one order of all tokens). The order here puts shingles without a rare word last, as a count sketch of fixed size
    over all words of all documents tells, so that common phrases and passages seldom bring documents together.
 2. All classes with a prefix token meet under the token's smallest class, its leader. Every linked pair is in a leader's
-   group, and a class is in few groups. A group of more than BLOCK classes is split into blocks that all hold the leader.
+   group, and a class is in few groups. A token that very many classes have gets its leader by an aggregate and a join
+   instead of in one task. A group of more than BLOCK classes is split into blocks that all hold the leader.
 3. A block's task builds a signature tree: classes ordered by size and least token, nodes with OR-combined token bitmaps,
    size ranges and bounds for bitmap collisions. A dual traversal drops the node pairs whose largest possible overlap is
    too small, or whose classes are all linked already; what is left is compared exactly. Only spanning links go out.
@@ -18,6 +19,7 @@ of its shingles. Documents with equal sets are one class, represented by its sma
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -29,6 +31,10 @@ from .common import ASCII_SPACE, LOWER, shingle_hashes, slices, span_hashes, sto
 from .components import connected, stars
 
 BLOCK = 1024
+#: Postings of a bucket of tokens beyond which its tokens go by a join (a task can hold so many), and the buckets.
+HOT, TOKEN_BUCKETS = 2_000_000, 1 << 16
+#: Blocks of one row of places.
+PLACES = 1024
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 BITMAP_BYTES = 256
@@ -110,15 +116,45 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
-def leaders(postings: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
-    """Distinct (leader, rep) of postings (id, token, n, at): for every token of at least two ids, its ids under the
-    least of them.
+def leaders(sets: DataFrame, num: int = 0, den: int = 1, hot: int = HOT) -> DataFrame:
+    """Distinct (leader, rep) of sets (id, n, tokens in order): for every token of at least two ids, its ids under one of
+    them, the leader.
 
-    n is the size of the id's set and at the token's place in its order. A token that is the first one that two sets
-    share leaves at most n - at elements to share in each; so ids of a token are dealt to separate leaders where sizes
-    leap by more than the threshold allows, and ids that can't reach it with any other id of a small group are left out.
-    With num = 0 sizes and places don't matter, and postings are (id, token) alone.
+    n is the size of the id's whole set. A token that is the first one that two sets share leaves at most n minus its
+    place to share in each; so ids of a token are dealt to separate leaders where sizes leap by more than the threshold
+    allows, and ids that can't reach it with any other id of a small group are left out. With num = 0 sizes and places
+    don't matter.
+
+    Tokens are counted by bucket first. Those of buckets with more than ``hot`` postings get their leader from an
+    aggregate and meet it in a join, whose skew Spark can split; the others, at most ``hot`` of a token, are dealt by
+    token and worked on as arrays.
     """
+    bucket = F.pmod(F.xxhash64("token"), F.lit(TOKEN_BUCKETS))
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).count()
+    heavy = [tuple(r) for r in counts.where(F.col("count") > hot).select("bucket").collect()]  # TOKEN_BUCKETS at most
+    postings = sets.select("id", *(["n"] if num else []), F.posexplode("tokens").alias("at", "token"))
+    if not heavy:
+        return _light_leaders(postings, num, den)
+    heavy = sets.sparkSession.createDataFrame(heavy, "bucket long")
+    marked = postings.withColumn("bucket", bucket)
+    light = _light_leaders(marked.join(F.broadcast(heavy), "bucket", "left_anti"), num, den)
+    return light.unionByName(_heavy_leaders(marked.join(F.broadcast(heavy), "bucket", "left_semi"), num, den)).distinct()
+
+
+def _heavy_leaders(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Under (token, size class): two sets that can reach the threshold have the same or neighbouring classes, and an id
+    is in its own class and the next one's."""
+    if num:
+        step = F.floor(F.log("n") / F.lit(math.log(den / num) * (1 + 1e-9))) if num < den else F.col("n")
+        postings = postings.withColumn("size", F.explode(F.array(step, step + 1)))
+    else:
+        postings = postings.withColumn("size", F.lit(0).cast("long"))
+    key = ["token", "size"]
+    least = postings.groupBy(*key).agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
+    return postings.join(stored(least, "hot-leaders"), key).select("leader", F.col("id").alias("rep")).distinct()
+
+
+def _light_leaders(postings: DataFrame, num: int, den: int) -> DataFrame:
     dealt = postings.select("id", "token", *(("n", "at") if num else ())).repartition("token")
 
     def run(it):
@@ -126,14 +162,18 @@ def leaders(postings: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
         if not parts:
             return
         rep, token, *rest = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(token)
+        same = token[order[1:]] == token[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)]  # most tokens have one id
+        rep, token, rest = rep[order], token[order], [x[order].astype(np.int64) for x in rest]
         order = np.lexsort((rep, rest[0], token) if num else (rep, token))
         rep, token = rep[order], token[order]
-        first = np.concatenate([[True], token[1:] != token[:-1]])
+        first = np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]])
         if num:
-            n, at = (x[order].astype(np.int64) for x in rest)
+            n, at = (x[order] for x in rest)
             first[1:] |= den * n[:-1] < num * n[1:]
         group = np.cumsum(first) - 1
-        size = np.bincount(group)[group]
+        size = np.bincount(group)[group] if len(group) else group
         useful = size > (near if num else 1)
         for d in range(1, near if num else 0):  # in groups of up to ``near`` ids all pairs are looked at
             i = np.flatnonzero((group[d:] == group[:-d]) & (size[d:] <= near))
@@ -142,15 +182,20 @@ def leaders(postings: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
             ok = (den + num) * most >= num * (n[i] + n[j])
             useful[i[ok]] = useful[j[ok]] = True
         rep, group = rep[useful], group[useful]
-        _, group = np.unique(group, return_inverse=True)
-        least = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, rep)
-        many = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-        pairs = np.unique(np.stack([least[group][many], rep[many]], 1), axis=0)
-        single = np.bincount(np.unique(pairs[:, 0], return_inverse=True)[1])  # a leader alone with itself
-        pairs = pairs[np.repeat(single, single) > 1]
-        for a in range(0, len(pairs), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 10_000, 0]), pa.array(pairs[a : a + 10_000, 1])], names=["leader", "rep"])
+        if not len(rep):
+            return
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(starts, len(group)))
+        leader = np.repeat(np.minimum.reduceat(rep, starts), size)
+        order = np.lexsort((rep, leader))
+        leader, rep = leader[order], rep[order]
+        new = np.append(True, (leader[1:] != leader[:-1]) | (rep[1:] != rep[:-1]))
+        leader, rep = leader[new], rep[new]
+        _, times = np.unique(leader, return_counts=True)
+        many = np.repeat(times, times) > 1  # not a leader alone with itself
+        leader, rep = leader[many], rep[many]
+        for a in range(0, len(rep), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(leader[a : a + 10_000]), pa.array(rep[a : a + 10_000])], names=["leader", "rep"])
 
     near = 16
     return dealt.mapInArrow(run, "leader long, rep long").distinct()
@@ -315,18 +360,24 @@ def few_links(sets: list[np.ndarray], num: int, den: int, comp: np.ndarray) -> l
     return out
 
 
-def link_groups(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], to_sets: Callable, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def link_groups(pairs: DataFrame, payloads: DataFrame, to_sets: Callable, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Components (id, component) of all links inside the groups of pairs (leader, rep).
 
-    ``members`` turns places (rep, comp, places: array of leader and block) into members for link_blocks.
+    payloads (rep, payload) holds what to_sets makes sets of, for every rep of the pairs; it is read once a round.
     """
+
+    def members(places: DataFrame) -> DataFrame:
+        return payloads.join(places, "rep").select("rep", "comp", "payload", F.explode("places").alias("p")).select("p.leader", "p.block", "rep", "comp", "payload")
+
     sizes = stored(pairs.groupBy("leader").agg(F.ceil(F.count("*") / float(block)).cast("long").alias("blocks")), "groups")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    # the places of a leader that is in very many blocks come in several rows
+    part = F.floor(F.col("block") / PLACES).cast("long").alias("part")
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     gather = F.collect_list(F.struct("leader", "block")).alias("places")
     sized = pairs.join(sizes, "leader")
     placed = sized.select("rep", "leader", F.explode(F.when(F.col("rep") == F.col("leader"), upto("blocks")).otherwise(F.array(own))).alias("block"))
-    first = placed.groupBy("rep").agg(gather).select("rep", F.col("rep").alias("comp"), "places")
+    first = placed.groupBy("rep", part).agg(gather).select("rep", F.col("rep").alias("comp"), "places", "part")
     links = stored(link_blocks(members(first), to_sets, num, den), "links")
     found = stored(connected(links), "components")
     if not sizes.where("blocks > 1").limit(1).count():
@@ -339,14 +390,14 @@ def link_groups(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], to_
     late = split.join(apart, "leader").withColumn("own", own).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")))
     one = late.select("rep", "comp", "leader", "chunks", "own", F.explode(upto("chunks")).alias("c")).select("rep", "comp", "leader", (F.col("own") * F.col("chunks") + F.col("c")).alias("block"))
     two = late.where("out").select("rep", "comp", "leader", "chunks", "chunk", F.explode(upto("blocks")).alias("o")).select("rep", "comp", "leader", (F.col("o") * F.col("chunks") + F.col("chunk")).alias("block"))
-    again = one.unionByName(two).distinct().groupBy("rep", "comp").agg(gather)
+    again = one.unionByName(two).distinct().groupBy("rep", "comp", part).agg(gather)
     more = stored(link_blocks(members(again), to_sets, num, den), "links")
     if more.limit(1).count():
         found = stored(connected(links.unionByName(more)), "components")
     return found
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text; more columns are ignored).
 
     Two documents link when den * intersection >= num * union. Texts that are null or without words have no shingles and
@@ -357,14 +408,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int
     some = rows.where("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    postings = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token"))
-    pairs = stored(leaders(postings, num, den), "pairs")
-
-    def members(places: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("payload"))
-        return texts.join(places, "rep").select("rep", "comp", "payload", F.explode("places").alias("p")).select("p.leader", "p.block", "rep", "comp", "payload")
+    pairs = stored(leaders(reps.select(F.col("doc_id").alias("id"), "n", F.col("prefix").alias("tokens")), num, den, hot), "pairs")
 
-    found = link_groups(pairs, members, lambda texts: sets_of(pa.array(texts, pa.string()), k), num, den, block)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("payload"))
+    payloads = stored(texts.join(pairs.select("rep").distinct(), "rep", "left_semi"), "payloads")
+    found = link_groups(pairs, payloads, lambda texts: sets_of(pa.array(texts, pa.string()), k), num, den, block)
     result = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     key = F.struct("d1", "d2", "n")
     several = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id"), "several")

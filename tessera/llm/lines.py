@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, mix, slices, span_hashes, stored, utf8, with_fields
-from .jaccard import BLOCK, leaders, link_groups
+from .common import ASCII_SPACE, fresh, mix, slices, span_hashes, stored, utf8, with_fields
+from .jaccard import BLOCK, HOT, leaders, link_groups
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 8
@@ -28,6 +28,7 @@ _FACTORS = _random.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2)
 _SALTS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 #: The hashes of each band: every hash is in one or two.
 _BAND = np.concatenate([_random.permutation(HASHES), _random.permutation(HASHES)])[: BANDS * ROWS].reshape(BANDS, ROWS)
+_A32 = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _A = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Characters that are worked on at once.
 CHUNK = 1 << 17
@@ -77,14 +78,28 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
 
 
 def bands(lines: list[str]) -> np.ndarray:
-    """One hash for each line and band."""
+    """One hash for each line and band. Lines have SHINGLE characters at least.
+
+    Shingles are hashed to 32 bits here; where a line ends, the places without a whole shingle repeat its first one.
+    """
     if not lines:
         return np.zeros((0, BANDS), np.uint64)
-    h, off = char_shingles(lines)
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    least = np.empty((len(lines), HASHES), np.uint32)
+    size = np.array([len(x) for x in lines], np.int64)
+    end = np.cumsum(size)
+    x = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32) + np.uint32(0x9E3779B9)
+    for step, factor in zip((1, 2, 4), _A32):  # 2, 4, then 8 characters
+        y = x * factor
+        y[:-step] += x[step:]
+        x = y ^ (y >> np.uint32(15))
+    for factor, shift in zip((0x85EBCA6B, 0xC2B2AE35), (13, 16)):
+        x *= np.uint32(factor)
+        x ^= x >> np.uint32(shift)
+    x[end[:, None] - np.arange(1, SHINGLE)] = x[end - size][:, None]
+    least, buffer = np.empty((len(lines), HASHES), np.uint32), np.empty_like(x)
     for k in range(HASHES):
-        least[:, k] = np.minimum.reduceat((h ^ _SALTS[k]) * _FACTORS[k], off[:-1])
+        np.bitwise_xor(x, _SALTS[k], out=buffer)
+        np.multiply(buffer, _FACTORS[k], out=buffer)
+        least[:, k] = np.minimum.reduceat(buffer, end - size)
     out = np.empty((len(lines), BANDS), np.uint64)
     for b, of in enumerate(_BAND):
         x = np.full(len(lines), b + 1, np.uint64)
@@ -104,32 +119,18 @@ def _chunks(size: np.ndarray):
         a = b
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), id (hash) of all lines that aren't blank."""
-
-    def run(it):
-        for batch in slices(it):
-            data, off = utf8(batch.column(1))
-            start, end, row, number = line_spans(data, off)
-            ids = span_hashes(data, start, end).view(np.int64)
-            doc = batch.column(0).take(pa.array(row))
-            for a in range(0, len(ids), 10_000):
-                yield pa.RecordBatch.from_arrays([doc[a : a + 10_000], pa.array(number[a : a + 10_000], pa.int32()), pa.array(ids[a : a + 10_000])], names=["doc_id", "line", "id"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, id long")
-
-
-def band_postings(docs: DataFrame) -> DataFrame:
-    """(id, token) for each band of every line; a task gives a line that it sees again only once.
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, line (from 0), id (hash) and tokens (one for each band) of all lines that aren't blank.
 
-    Lines of fewer than SHINGLE characters are similar to equal ones alone and have none.
+    A task gives a line that it has seen lately without its tokens (null). Lines of fewer than SHINGLE characters are
+    similar to equal ones alone and have none.
     """
 
     def run(it):
         seen: set[int] = set()
         for batch in slices(it):
             data, off = utf8(batch.column(1))
-            start, end, _, _ = line_spans(data, off)
+            start, end, row, number = line_spans(data, off)
             ids = span_hashes(data, start, end).view(np.int64)
             _, first = np.unique(ids, return_index=True)
             first = [k for k in np.sort(first).tolist() if int(ids[k]) not in seen]
@@ -139,47 +140,52 @@ def band_postings(docs: DataFrame) -> DataFrame:
             raw = data.tobytes()
             lines = [raw[start[k] : end[k]].decode() for k in first]
             long = [k for k, x in enumerate(lines) if len(x) >= SHINGLE]
-            lines, own = [lines[k] for k in long], ids[np.array(first, int)][np.array(long, int)]
-            for a, b in _chunks(np.array([len(x) for x in lines], np.int64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[a:b], BANDS)), pa.array(bands(lines[a:b]).ravel().view(np.int64))], names=["id", "token"])
+            lines, banded = [lines[k] for k in long], np.array(first, np.int64)[np.array(long, np.int64)]
+            parts = [bands(lines[a:b]) for a, b in _chunks(np.array([len(x) for x in lines], np.int64))]
+            tokens = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, BANDS), np.int64)
+            has = np.zeros(len(ids), bool)
+            has[banded] = True
+            at = np.cumsum(has) - has
+            doc = batch.column(0).take(pa.array(row))
+            for a in range(0, len(ids), 10_000):
+                own = has[a : a + 10_000]
+                off = np.concatenate([[0], np.cumsum(own) * BANDS]).astype(np.int32)
+                of = tokens[at[a] : at[a] + off[-1] // BANDS]
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(of.ravel()), mask=pa.array(~own))
+                yield pa.RecordBatch.from_arrays([doc[a : a + 10_000], pa.array(number[a : a + 10_000], pa.int32()), pa.array(ids[a : a + 10_000]), lists], names=["doc_id", "line", "id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, token long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, id long, tokens array<long>")
 
 
-def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
+def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, keep (sorted numbers of the lines that stay) for every document that keeps a line that isn't blank."""
     named = docs.where("doc_id is not null")
-    lines = stored(line_hashes(named), "lines")
+    lines = stored(line_table(named), "lines")
     classes = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first")), "classes")
-    pairs = stored(leaders(band_postings(named)), "pairs")
+    pairs = stored(leaders(lines.where("tokens is not null").select("id", "tokens"), hot=hot), "pairs")
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = pairs.select("rep").distinct().join(classes, F.col("rep") == classes.id).select("first.doc_id", F.struct("first.line", "rep").alias("want"))
+    joined = texts.join(wanted.groupBy("doc_id").agg(F.collect_list("want").alias("wants")), "doc_id").select("text", "wants")
 
-    def members(places: DataFrame) -> DataFrame:
-        wanted = places.join(classes, places.rep == classes.id).select("first.doc_id", F.struct("first.line", "rep", "comp", "places").alias("want"))
-        joined = texts.join(wanted.groupBy("doc_id").agg(F.collect_list("want").alias("wants")), "doc_id").select("text", "wants")
-
-        def cut(it):
-            for batch in slices(it):
-                lines = []
-                for text, wants in zip(*(c.to_pylist() for c in batch.columns)):
-                    parts = text.split("\n") if text else []
-                    lines += [(parts[w["line"]].strip(" \t\n\r\v\f"), w) for w in wants if w["line"] < len(parts)]
-                data, off = utf8(pa.array([x for x, _ in lines], pa.string()))
-                # another text of the same doc_id has other lines at these numbers
-                ids = span_hashes(data, off[:-1], off[1:]).view(np.int64).tolist()
-                rows = [(p["leader"], p["block"], w["rep"], w["comp"], line) for (line, w), i in zip(lines, ids) if i == w["rep"] for p in w["places"]]
-                for a in range(0, len(rows), 2000):
-                    part = list(zip(*rows[a : a + 2000]))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in part[:4]), pa.array(part[4], pa.string())], names=["leader", "block", "rep", "comp", "payload"])
-
-        return joined.mapInArrow(cut, "leader long, block long, rep long, comp long, payload string")
-
-    found = link_groups(pairs, members, shingle_sets, num, den, block)
+    def cut(it):
+        for batch in slices(it):
+            lines = []
+            for text, wants in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = text.split("\n") if text else []
+                lines += [(parts[w["line"]].strip(" \t\n\r\v\f"), w["rep"]) for w in wants if w["line"] < len(parts)]
+            data, off = utf8(pa.array([x for x, _ in lines], pa.string()))
+            # another text of the same doc_id has other lines at these numbers
+            own = np.array([rep for _, rep in lines], np.int64)
+            right = pa.array(span_hashes(data, off[:-1], off[1:]).view(np.int64) == own)
+            yield pa.RecordBatch.from_arrays([pa.array(own).filter(right), pa.array([x for x, _ in lines], pa.string()).filter(right)], names=["rep", "payload"])
+
+    payloads = stored(joined.mapInArrow(cut, "rep long, payload string"), "payloads")
+    found = link_groups(pairs, payloads, shingle_sets, num, den, block)
     of = classes.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
     return of.groupBy("first.doc_id").agg(F.array_sort(F.collect_list("first.line")).alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK, hot: int = HOT, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with text without the lines that repeat an earlier one, and the numbers of lines and of removed lines.
 
     Both counts leave out blank lines, which all stay. A null text stays null. Rows with a null doc_id stay as they are
@@ -188,8 +194,9 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BL
     docs = docs.select([f"`{c}`" for c in docs.columns if c not in counts])
     names = docs.columns
     text_at = names.index("text")
-    keep = kept_lines(docs, num, den, block).select(F.col("doc_id").alias("_id"), F.col("keep").alias("_keep"))
-    joined = docs.join(keep, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*[f"`{c}`" for c in names], F.when(F.col("doc_id").isNotNull(), F.coalesce("_keep", F.array().cast("array<int>"))).alias("_keep"))
+    key, own = fresh(names, "_id", "_keep")
+    keep = kept_lines(docs, num, den, block, hot).select(F.col("doc_id").alias(key), F.col("keep").alias(own))
+    joined = docs.join(keep, F.col("doc_id").cast("long") == F.col(key), "left").select(*[f"`{c}`" for c in names], F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.array().cast("array<int>"))).alias(own))
 
     def run(it):
         for batch in slices(it):
@@ -208,6 +215,10 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BL
 
 
 def keep_fresh(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: docs without repeated lines; a document all of whose lines repeat earlier ones goes."""
-    found = dedup_lines(docs, counts=("_n_lines", "_n_removed"))
-    return found.where("_n_lines = 0 or _n_removed < _n_lines").select([f"`{c}`" for c in docs.columns])
+    """Pipeline stage: docs without repeated lines; a document all of whose lines repeat earlier ones goes.
+
+    Documents that had no line (null, empty or blank texts) and those with a null doc_id stay.
+    """
+    n, gone = fresh(docs.columns, "_n_lines", "_n_removed")
+    found = dedup_lines(docs, counts=(n, gone))
+    return found.where((F.col(n) == 0) | (F.col(gone) < F.col(n))).select([f"`{c}`" for c in docs.columns])

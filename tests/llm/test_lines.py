@@ -78,8 +78,8 @@ def test_recall_of_bands():
     assert total > 50 and met >= 0.98 * total
 
 
-@pytest.mark.parametrize("block", [lines.BLOCK, 8])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, hot", [(lines.BLOCK, lines.HOT), (8, 5)])
+def test_against_brute_force(spark, block, hot):
     r = random.Random(block)
     base = [" ".join(f"w{r.randint(0, 3000)}" for _ in range(30)) for _ in range(60)]
     docs = []
@@ -94,7 +94,7 @@ def test_against_brute_force(spark, block):
                 own.append(r.choice(["", "  ", "As.", "ok"]))
         docs.append((i, "\n".join(own)))
     want, gone = brute(docs)
-    got = run(spark, docs, block=block)
+    got = run(spark, docs, block=block, hot=hot)
     wrong = [i for i in want if got[i].text != want[i]]
     assert len(gone) > 200 and len(wrong) <= 2  # banding may miss a pair, seldom
 
@@ -115,6 +115,13 @@ def test_texts_that_share_an_id(spark):
         assert sorted((x.doc_id, x.n_lines, x.n_removed) for x in got) == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 1)]
 
 
+def test_columns_named_like_helpers(spark):
+    names = ["_id", "_keep", "_n_lines", "_n_removed"]
+    df = spark.createDataFrame([(1, "a line of some words", 1, 2, 3, 4), (2, "a line of some words\nmore words here", 5, 6, 7, 8)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert [tuple(r[2:6]) for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == [(1, 2, 3, 4), (5, 6, 7, 8)]
+    assert [tuple(r) for r in lines.keep_fresh(df).orderBy("doc_id").collect()] == [(1, "a line of some words", 1, 2, 3, 4), (2, "more words here", 5, 6, 7, 8)]
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "\n \n"), (4, "Hi\nHi\nhi"), (5, "Hi"), (6, "a longer line of text\n\nHi"), (7, "a longer line of text."), (8, "long " * 40000), (9, "x\n" * 5000)]
     df = spark.createDataFrame([(i, t, 3, "z") for i, t in docs] + [(None, "Hi", 3, "z")], "doc_id long, text string, n_lines int, keep string")

@@ -91,6 +91,26 @@ def test_groups_that_are_split(spark, seed):
     r.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(jaccard.join(df, 4, 85, 100, block=16)) == brute(docs, 4, 85, 100)
+    assert got(jaccard.join(df, 4, 85, 100, block=16, hot=3)) == brute(docs, 4, 85, 100)
+
+
+@pytest.mark.parametrize("num, den", [(0, 1), (80, 100), (1, 1)])
+def test_leaders_bring_all_pairs_together(spark, num, den):
+    """Whatever way a token goes, two ids that share it and may reach the threshold share a leader."""
+    r = random.Random(num)
+    sets = [(i, r.choice([10, 12, 13, 40]), [r.choice([1, 2, 2, 3, 10**18, -5, 100 + i]) for _ in range(2)]) for i in range(120)]
+    df = spark.createDataFrame([(i, n, list(dict.fromkeys(t))) for i, n, t in sets], "id long, n long, tokens array<long>")
+    pairs = [{(x.leader, x.rep) for x in jaccard.leaders(df, num, den, hot).collect()} for hot in (10**6, 30, 0)]
+    for found in pairs:
+        of = {}
+        for leader, rep in found:
+            of.setdefault(rep, set()).add(leader)
+        assert all((leader, leader) in found for leader, _ in found)
+        for i, n, t in sets:
+            for j, m, u in sets[:i]:
+                best = max((min(n - t.index(x), m - u.index(x)) for x in set(t) & set(u)), default=0)
+                if best and (num == 0 or (den + num) * best >= num * (n + m) and den * min(n, m) >= num * max(n, m)):
+                    assert of[i] & of[j], (i, j)
 
 
 def test_texts_that_share_an_id_link_as_one_document(spark):
