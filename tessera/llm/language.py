@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import fresh, slices, utf8, with_fields
 
-BUCKETS = 1 << 15
+#: The n-gram buckets are 2**BITS; fewer (2**LEAST_BITS at least) where so many languages are learned that the model would
+#: have more than MODEL_CELLS probabilities.
+BITS, LEAST_BITS, MODEL_CELLS = 15, 8, 1 << 24
+BUCKETS = 1 << BITS
 #: Documents of each language that the n-gram counts are fitted on, in the mean: those whose hash of doc_id is below a
 #: threshold that the language's count gives (all, if there are fewer).
 FIT_DOCS = 4000
-#: Languages at most, or fit() raises an error; with the buckets it bounds the model.
-MAX_LANGUAGES = 200
 SMOOTHING = 0.5
 #: Of log(n-grams), for each language after the first. Above BIC's 1/2, as overlapping n-grams aren't independent.
 PENALTY = 3.0
@@ -51,14 +52,25 @@ class Model:
     languages: list[str]
     probability: np.ndarray  # buckets x languages
 
+    @property
+    def bits(self) -> int:
+        return len(self.probability).bit_length() - 1
 
-def grams(data: np.ndarray) -> np.ndarray:
+
+def bits_for(languages: int) -> int:
+    bits = min(BITS, (MODEL_CELLS // languages).bit_length() - 1)
+    if bits < LEAST_BITS:
+        raise ValueError(f"{languages} languages are more than a model of {MODEL_CELLS} probabilities can tell apart")
+    return bits
+
+
+def grams(data: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Buckets of the three-byte n-grams of one text's bytes, without those of blanks alone."""
     x = _FOLD[data].astype(np.uint32)
     x = np.concatenate([[32], x, [32]]).astype(np.uint32)
     x = x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]  # runs of blanks become one
     code = x[:-2] | x[1:-1] << 8 | x[2:] << 16
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - 15)
+    return (code * np.uint32(2654435761)) >> np.uint32(32 - bits)
 
 
 def mixture(p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -100,7 +112,7 @@ def select(p: np.ndarray, c: np.ndarray, penalty: float = PENALTY) -> tuple[list
 def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float, float]:
     """Proportions of the chosen languages, the score of the largest (its proportion times its posterior), and the gain:
     by how much an n-gram is likelier in the mixture than in a background of equal buckets (mean of log ratios)."""
-    counts = np.bincount(grams(data), minlength=BUCKETS)
+    counts = np.bincount(grams(data, model.bits))
     at = np.flatnonzero(counts)
     if not len(at):
         return {}, 0.0, 0.0
@@ -109,37 +121,33 @@ def infer(model: Model, data: np.ndarray, penalty: float = PENALTY) -> tuple[dic
     top = chosen[int(pi.argmax())]
     posterior = 1 / np.exp(np.minimum((single - single[top]) / 3, 50)).sum()
     score = float(min(1.0, pi.max() * posterior)) if len(chosen) == 1 else float(pi.max())
-    return dict(zip(chosen, map(float, pi))), score, float(best / c.sum() + np.log(BUCKETS))
+    return dict(zip(chosen, map(float, pi))), score, float(best / c.sum() + np.log(len(model.probability)))
 
 
 def fit(docs: DataFrame, usable: Column, per_language: int = FIT_DOCS) -> Model | None:
     """n-gram likelihoods of each language from usable rows with a lang. None if there are no such rows.
 
-    More than MAX_LANGUAGES languages raise ValueError: without the rarer ones their documents would get wrong labels.
+    Every language is learned; very many of them share fewer buckets, so that the model's size is bounded.
     """
     rows = docs.where(usable & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"documents have more than MAX_LANGUAGES = {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit((MODEL_CELLS >> LEAST_BITS) + 1).collect()}
     if not sizes:
         return None
-    languages = sorted(sizes)
+    languages, bits = sorted(sizes), bits_for(len(sizes))
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, per_language / sizes[k]))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
     index = {k: i for i, k in enumerate(languages)}
 
     def count(it):
-        total = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in slices(it):
             data, off = utf8(batch.column(1))
-            for k, lang in enumerate(batch.column(0).to_pylist()):
-                total[index[lang]] += np.bincount(grams(data[off[k] : off[k + 1]]), minlength=BUCKETS)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
+            cells = [(index[lang] << bits) + grams(data[off[k] : off[k + 1]], bits).astype(np.int64) for k, lang in enumerate(batch.column(0).to_pylist())]
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((cell >> bits).astype(np.int32)), pa.array((cell & (1 << bits) - 1).astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
 
     found = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.full((len(languages), BUCKETS), SMOOTHING)
+    total = np.full((len(languages), 1 << bits), SMOOTHING)
     total[found.lang, found.bucket] += found.n
     return Model(languages, np.ascontiguousarray((total / total.sum(1, keepdims=True)).T))
 

@@ -47,12 +47,19 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in language.predict_documents(no_lang).collect()} == {"und"}
 
 
-def test_too_many_languages_are_an_error(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"text {k} {i}", k) for i, k in enumerate(["aa", "bb", "cc"] * 10)], "doc_id long, text string, lang string")
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
-    assert language.fit(docs, docs.doc_id >= 0).languages == ["aa", "bb", "cc"]
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
-    with pytest.raises(ValueError, match="MAX_LANGUAGES = 2"):
+def test_every_one_of_many_languages_is_learned(spark, monkeypatch):
+    r = random.Random(4)
+    words = {f"l{k:03}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(12)] for k in range(250)}
+    rows = [(i, " ".join(r.choices(words[k], k=40)), k) for i, k in enumerate(list(words) * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for cells in (language.MODEL_CELLS, 250 << 12):
+        monkeypatch.setattr(language, "MODEL_CELLS", cells)
+        model = language.fit(docs, ~language.held_out(5, 0))
+        assert model.languages == sorted(words) and model.probability.size <= cells and model.bits == (15 if cells > 250 << 15 else 12)
+        got = language.predict_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+        assert sum(x.lang == x.lang_pred for x in got) >= 0.98 * len(got) and len({x.lang for x in got}) > 200
+    monkeypatch.setattr(language, "MODEL_CELLS", 250 << 7)
+    with pytest.raises(ValueError, match="languages are more than a model"):
         language.fit(docs, docs.doc_id >= 0)
 
 
