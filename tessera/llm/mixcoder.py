@@ -42,10 +42,17 @@ _LOWS = 4
 
 
 def _squash_table() -> np.ndarray:
-    """65536 / (1 + exp(-x / 256)) for x from -2047 to 2047, by whole-number interpolation (fixed values)."""
-    knots = [1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4024, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094]
-    out = [(knots[(x + 2048) >> 7] * (128 - ((x + 2048) & 127)) + knots[min(((x + 2048) >> 7) + 1, 32)] * ((x + 2048) & 127) + 64) >> 3 for x in range(-2048, 2048)]
-    return np.clip(np.array(out, np.int64), 48, 65536 - 48)
+    """65536 / (1 + exp(-x / 256)) for x from -2048 to 2047, in whole numbers of 48 fractional bits."""
+    one, step, term = 1 << 48, 0, 1 << 48
+    for k in range(1, 12):  # exp(-1 / 256) by its series
+        step += term if k % 2 else -term
+        term //= 256 * k
+    power, right = one, []
+    for _ in range(2049):
+        right.append(65536 * one // (one + power))
+        power = power * step >> 48
+    left = [65536 - p for p in right[:0:-1]]
+    return np.clip(np.array([*left, *right[:2048]], np.int64), 48, 65536 - 48)
 
 
 _SQUASH = _squash_table()
@@ -309,11 +316,13 @@ def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 def write_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Token files of documents (doc_id, text) in ascending doc_id order: shard, segment, n_tokens, content.
 
-    A shard is a range of doc_id; shards, and the segments of a shard, follow each other in that order. Null texts are
-    empty; rows with a null doc_id come first, rows of one doc_id in the order of their texts.
+    A shard is a range of doc_id, or within one doc_id (or none) of how texts begin; shards, and the segments of a shard,
+    follow each other in that order. Null texts are empty; rows with a null doc_id come first, rows of one doc_id in the
+    order of their texts. Repeated rows are repeated, more columns are ignored, an empty table gives no files. Ids above
+    MAX_ID, which the byte-level vocabulary doesn't have, are an error.
     """
     path = path or tokens.byte_bpe()
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 32)).sortWithinPartitions("doc_id", "text")
 
     def run(it):
         encode, tail = tokens.encoder(path).encode, np.array([end_id], "<u4").tobytes()
