@@ -24,7 +24,7 @@ _BACK = {"\\": "\\", "o": OPEN, "c": CLOSE, "n": "\n"}
 _CONTROL = re.compile("|".join(map(re.escape, _ESCAPES)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _CONSTANTS = np.frombuffer(f"{OPEN}\n{CLOSE}\n".encode(), np.uint8)
-PARTS = "conv_id long, part int, n_turns int, formatted binary, loss_start array<long>, loss_end array<long>"
+PARTS = "conv_id long, part int, open boolean, n_turns int, formatted binary, loss_start array<long>, loss_end array<long>"
 
 
 def escape(text: str) -> str:
@@ -71,7 +71,7 @@ def format_conversations(rows: DataFrame, partitions: int | None = None) -> Data
     Turns are ordered by turn, then role, then text, nulls first; a null role or text is empty, and rows with a null
     conv_id make one conversation. A conversation comes in one part or, if it goes over several Arrow batches, in
     consecutive parts of whole turns: no task holds more than a batch of it. loss_start and loss_end are byte offsets in
-    the part. The parts of a conversation follow each other in one partition.
+    the part; ``open`` says that the conversation may go on in another part. An empty table gives no parts.
     """
     keyed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     dealt = keyed.repartition(partitions, "conv_id") if partitions else keyed.repartition("conv_id")
@@ -97,8 +97,8 @@ def format_conversations(rows: DataFrame, partitions: int | None = None) -> Data
             whole = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.ascontiguousarray(at[cuts]).astype(np.int64)), pa.py_buffer(data)])
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k] for k in first], pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.diff(cuts), pa.int32()), whole.cast(pa.binary()), pa.array(starts, lists), pa.array(stops, lists)],
-                names=["conv_id", "part", "n_turns", "formatted", "loss_start", "loss_end"],
+                [pa.array([ids[k] for k in first], pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.arange(len(first)) == len(first) - 1), pa.array(np.diff(cuts), pa.int32()), whole.cast(pa.binary()), pa.array(starts, lists), pa.array(stops, lists)],
+                names=["conv_id", "part", "open", "n_turns", "formatted", "loss_start", "loss_end"],
             )
 
     return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, PARTS)
@@ -114,7 +114,11 @@ def turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(parts: DataFrame) -> DataFrame:
-    """The digests of op10 from formatted parts. The parts of a conversation must follow each other in a partition."""
+    """The digests of op10 from formatted parts, in whatever order they come.
+
+    A conversation in one part is read where it is; those that may have several are dealt by conversation and put in
+    order first, and a task reads a part at a time.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(it):
@@ -148,4 +152,7 @@ def read_back(parts: DataFrame) -> DataFrame:
         if state is not None:
             yield table([row()])
 
-    return parts.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    out, columns = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", ["conv_id", "formatted", "loss_start", "loss_end"]
+    whole = (F.col("part") == 0) & ~F.col("open")
+    several = parts.where(~whole).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return parts.where(whole).select(columns).mapInArrow(run, out).unionByName(several.select(columns).mapInArrow(run, out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, hnsw, jaccard, language, lines, matroska, mixcoder, packing, quality
-from .common import table
+from .common import stored, table
 
 ORACLES: dict[str, str] = {
     "op9_ngram_jaccard": r"""
@@ -73,7 +73,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+    return chat.read_back(stored(chat.format_conversations(rows.unionByName(more)), "formatted"))
 
 
 QUERIES = {
