@@ -1,7 +1,11 @@
 """A corpus pipeline over ``documents``: language, quality, repeated lines, near copies, packing.
 
 Each stage is a function of (spark, docs, sf_dir) that works on all documents that the stage before has kept. All but
-the last return the columns of documents; the last returns the packed pieces.
+the last return the columns of documents, whatever their names; the last returns the packed pieces.
+
+Null, empty and letterless texts go with the first stage. Documents with a null doc_id stay until a stage has a reason in
+their text; repeated rows are judged alike, and rows that share a doc_id are one document to the stages of lines and near
+copies. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from tessera.llm.common import stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language with any certainty, go."""
+    """Documents without a letter, or in no language that is learned from docs, go."""
     return language.keep_known(docs)
 
 
@@ -50,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents of the folder that the stages keep; what a stage keeps is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
