@@ -215,6 +215,30 @@ def test_recall(spark, spread):
     check(hnsw.search(df, df.where("vec_id % 20 = 0"), 20, shard_rows=500).collect(), brute(rows, 20), 0.95)
 
 
+def test_queries_ask_few_cells_where_vectors_have_clusters(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(12, 16)) * 6
+    v = np.concatenate([centres[r.integers(12)] + r.normal(size=(1, 16)) for _ in range(2400)])
+    v[:800] = centres[0] + 0.5 * r.normal(size=(800, 16))  # a third of all rows in one place
+    rows = [(int(i), [float(x) for x in row.astype(np.float32)]) for i, row in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = df.where("vec_id % 20 = 0")
+    check(hnsw.search(df, queries, 20, shard_rows=100).collect(), brute(rows, 20), 0.95)
+    index, cells = hnsw.build_index(df, 20, shard_rows=100)
+    assert index.count() == sum(n for _, n in cells.shards.values()) and len(cells.pivots[16]) == 24
+    assert max(len(x.ids) for x in index.select("ids").collect()) < 200 and sum(len(x.ids) for x in index.select("ids").collect()) == 2400
+    probes = hnsw.probes_needed(index, cells, hnsw._usable(queries), (np.float32, np.float32), 20, 120)
+    assert 1 < probes < 16
+
+
+def test_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.normal(size=3 + i % 2).astype(np.float32)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = hnsw.search(df, df.where("vec_id % 20 < 2"), 20, shard_rows=60, most_cells=5).collect()
+    assert {x.query_id % 2 for x in got} == {0, 1} and all(x.query_id % 2 == x.vec_id % 2 for x in got) and len(got) == 800
+
+
 def test_search_edges(spark):
     bad = [(0, None), (20, [0.0, 0.0]), (40, [1.0, None]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (None, [1.0, 1.0]), (140, [])]
     good = [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [1.0, 2.0]), (103, [-1.0, 0.0]), (100, [1.0, 2.0]), (120, [1.0, 0.0, 0.0])]
