@@ -164,7 +164,7 @@ def task_schedule_summary(spark, sf_dir):
   gm as (select nodes, delta, floor((f+l)/delta)::bigint m from g), q as (select distinct gm.nodes, m, f, 4*m+l+f w, 4*m-l-3*f x, 2*f+2*l-4*m y from gm join p using (nodes)),
   q2 as (select *, trunc(6006/w::double)::bigint n from q where w<>0), q3 as (select *, trunc(x/n::double)::bigint b, trunc(y/(n*n)::double)::bigint c from q2 where n<>0),
   s as (select nodes, m, f, b, c, 1 i, f size, f done, true ok from q3
-    union all select nodes, m, f, b, c, i+1, least(g, 1002-done), done+g, least(g, 1002-done)<=size from (select *, greatest(f+b*(i+1)+c*(i+1)*(i+1), 1) g from s where ok and done<=1001 and i<5*nodes)),
+    union all select nodes, m, f, b, c, i+1, g, done+g, g<=size from (select *, greatest(f+b*(i+1)+c*(i+1)*(i+1), 1) g from s where ok and done<=1001 and i<5*nodes)),
   k as (select nodes, m, i n_chunks from s where ok and done>1001 and i<5*nodes), a as (select nodes, delta, n_chunks, lag(n_chunks, 1, 0) over (order by nodes, delta) before from gm join k using (nodes, m))
   select nodes::int nodes, delta, n_chunks::int n_chunks from a where n_chunks <> before"""
 )

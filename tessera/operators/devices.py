@@ -108,13 +108,13 @@ class Registry:
         self._found.pop(name, None)
 
     def _ask(self, name: str) -> tuple[DataFrame | None, str | None]:
-        """A backend is asked once; what its devices need is computed here, so that a failure shows here too."""
+        """A backend is asked once; its first device is computed here, so that a failure shows here too."""
         if name not in self._found:
             try:
                 found = self._probes[name]()
                 if found is None:
                     self._found[name] = None, f"{name.lower()}: no driver is probed"
-                elif found.limit(1).count() == 0:
+                elif not found.limit(1).collect():
                     self._found[name] = None, f"{name} has no devices"
                 else:
                     self._found[name] = found, None

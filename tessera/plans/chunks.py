@@ -239,9 +239,8 @@ def lengths_of_quadratics(d: int, n: int, tail: int, middle: np.ndarray) -> np.n
         if not open_.any():
             break
         new = np.maximum(first + b * (i + 1) + c * (i + 1) ** 2, 1)
-        open_ &= np.minimum(new, d + 1 - done) <= size
-        size = np.minimum(new, d + 1 - done)
-        done = done + new
+        open_ &= new <= size  # sizes as planned, the last one too
+        size, done = new, done + new
     return count
 
 
