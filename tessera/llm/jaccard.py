@@ -363,7 +363,7 @@ def few_links(sets: list[np.ndarray], num: int, den: int, comp: np.ndarray) -> l
 def link_groups(pairs: DataFrame, payloads: DataFrame, to_sets: Callable, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Components (id, component) of all links inside the groups of pairs (leader, rep).
 
-    payloads (rep, payload) holds what to_sets makes sets of, for every rep of the pairs; it is read once a round.
+    payloads (rep, payload) holds what to_sets makes sets of, for every rep of the pairs at least; it is read once a round.
     """
 
     def members(places: DataFrame) -> DataFrame:
@@ -411,8 +411,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int
     pairs = stored(leaders(reps.select(F.col("doc_id").alias("id"), "n", F.col("prefix").alias("tokens")), num, den, hot), "pairs")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("payload"))
-    payloads = stored(texts.join(pairs.select("rep").distinct(), "rep", "left_semi"), "payloads")
-    found = link_groups(pairs, payloads, lambda texts: sets_of(pa.array(texts, pa.string()), k), num, den, block)
+    found = link_groups(pairs, texts, lambda texts: sets_of(pa.array(texts, pa.string()), k), num, den, block)
     result = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     key = F.struct("d1", "d2", "n")
     several = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id"), "several")
