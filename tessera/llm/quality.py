@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, epochs: i
         yield pa.RecordBatch.from_arrays([pa.array([ftrl.model().tobytes()], pa.binary())], names=["weights"])
 
     found = stored(joined.mapInArrow(extract, "doc_id long, label int, i binary, x binary"), "features")
-    turns = found.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs))))).repartition(1)
+    turns = found.repartition(1).withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
     ordered = turns.sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", "label", "i", "x").select("label", "i", "x")
     row = ordered.mapInArrow(learn, "weights binary").first()
     return np.frombuffer(row[0], np.float32) if row else Ftrl().model()
