@@ -1,12 +1,17 @@
-"""Token ids in files, by an adaptive context-mixing range coder.
+"""Token ids in files, by an adaptive context-mixing arithmetic coder.
 
 Ids go in blocks of BLOCK, each coded from a fresh state and with its own checksum. For each id, the order-2 and order-1
-contexts predict one id each (the last that was often seen after them). Whether a prediction holds is one coded bit; its
-probability mixes, in the logistic domain and with weights that adapt, what the order-2 context, the order-1 context and
-the order-0 counts say of the predicted id. If none holds, the order-0 counts code the id's high and low part. A range
-coder with 48-bit low and range writes 16-bit words. All arithmetic is in integers, so that every machine decodes alike.
+contexts predict one id each (the last that was often seen after them); that of order 2 is asked, or of order 1 if order
+2 has none. Whether it holds is one coded bit. Its probability mixes, in the logistic domain, how sure both contexts are:
+each says a value that adapts after every id by the error of the mixture. If the prediction fails, order-0 counts code
+the id: ids of the block so far have symbols of their own, new ids a symbol for their range and the place in it; the
+counts are brought up to date at UPDATES. All arithmetic is in integers, so that every machine decodes alike.
+
+The coder is a range ANS with a 64-bit state and 32-bit words. It takes an id's bit, symbol and place as one step, whose
+words are written last id first, so the encoder models a whole block before it writes.
 
 A block is sequential, but blocks are independent: up to LANES of them are coded in step, as numpy arrays over blocks.
+What needs no order (symbols of ids, frequencies, limits) is done for many steps at once.
 
 A segment (the unit of a file) holds whole documents: header, document ids and lengths, block table (ids, bytes, crc32
 of the ids as little-endian 32-bit integers), payloads.
@@ -31,14 +36,22 @@ BLOCK, LANES = 4096, 2048
 MAX_ID = (1 << 16) - 1
 END_ID = 2
 SEGMENT_IDS = BLOCK * LANES
-MAGIC = b"TCMX"
+MAGIC = b"TCMY"
 _HEADER = struct.Struct("<4sIIQI")  # magic, documents, documents with a null id, ids, blocks
 
-_TABLE_BITS = 12
-_WORD = 1 << 32
-_INC, _LIMIT = 24, 60_000
-#: Low parts have counts of their own for high parts 0, 1, 2 and above.
-_LOWS = 4
+#: Ids of a block after which its order-0 counts are brought up to date.
+UPDATES = (0, 16, 64, 192, 512, 1024, 1792, 2816)
+#: Bits of the probability of a prediction, of a symbol's frequency and of a place in a range. Their sum is at most 32,
+#: so one word a step is enough.
+_BIT, _FREQ, _PLACE = 11, 12, 9
+#: Most ids with a symbol of their own.
+_OWN = 640
+_OFTEN = -(-BLOCK // _OWN) + 1
+#: Rows of a lane's predictions, and predictions in a row: one of order 1, the others of order 2.
+_ROW_BITS, _ROW = 9, 4
+_ROWS = 1 << _ROW_BITS
+#: How fast the mixed values adapt.
+_RATE = 8
 
 
 def _squash_table() -> np.ndarray:
@@ -52,205 +65,295 @@ def _squash_table() -> np.ndarray:
         right.append(65536 * one // (one + power))
         power = power * step >> 48
     left = [65536 - p for p in right[:0:-1]]
-    return np.clip(np.array([*left, *right[:2048]], np.int64), 48, 65536 - 48)
-
-
-_SQUASH = _squash_table()
-#: The inverse: of a 16-bit probability in steps of 16.
-_STRETCH = np.searchsorted(_SQUASH, np.arange(0, 65536, 16) + 8).clip(1, 4095).astype(np.int64) - 2048
-#: 256 times the natural logarithm of 0..65535, as sums of whole numbers.
-_LOG = np.concatenate([[0], np.cumsum(np.full(65535, 1 << 20, np.int64) // np.arange(1, 65536)) * 256 >> 20])
-
-
-class _Coder:
-    """State of all lanes. One class serves both directions, so that their models can't differ."""
-
-    def __init__(self, lengths: np.ndarray, words: list[np.ndarray] | None) -> None:
-        n = self.n = len(lengths)
-        self.lengths, self.decoding = lengths, words is not None
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
-        size = 1 << _TABLE_BITS
-        self.table = [np.full(n * size, -1, np.int32) for _ in range(2)]
-        self.base = np.arange(n, dtype=np.int64) * size
-        sure = np.arange(32) & 15  # a prediction that has held k times in a row starts at (k + 1/2) / (k + 2)
-        self.p = [np.tile((65536 * (2 * sure + 1) // (2 * sure + 4)).astype(np.int64), (2, n)) for _ in range(2)]
-        self.weight = [np.array([[30_000], [24_000], [4_000]]) + np.zeros((3, n), np.int64) for _ in range(2)]
-        self.count = np.ones((n, 1 + _LOWS, 256), np.int32)
-        self.sums = np.zeros((n, 1 + _LOWS, 257), np.int32)
-        self.at = np.zeros(n, np.int64)
-        if words is None:
-            self.out = np.zeros((n, 1024), np.uint16)
-        else:
-            self.out = np.zeros((n, max((len(w) for w in words), default=0) + 4), np.uint16)
-            for k, w in enumerate(words):
-                self.out[k, : len(w)] = w
-            self.d = np.zeros(n, np.int64)
-            for _ in range(3):
-                self._read(np.arange(n))
-
-    def _read(self, lane: np.ndarray) -> None:
-        at = np.minimum(self.at[lane], self.out.shape[1] - 1)
-        self.d[lane] = (self.d[lane] << 16) | self.out[lane, at]
-        self.at[lane] += 1
-
-    def _settle(self, lane: np.ndarray) -> None:
-        """Write (or read) words of the lanes whose range has become short."""
-        while True:
-            lane = lane[self.range[lane] < _WORD]
-            if not len(lane):
-                return
-            low, span = self.low[lane], self.range[lane]
-            apart = (low ^ (low + span - 1)) >> 32 != 0
-            span = np.where(apart, _WORD - (low & _WORD - 1), span)
-            if self.decoding:
-                self._read(lane)
-            else:
-                if self.at[lane].max() + 8 > self.out.shape[1]:
-                    self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-                self.out[lane, self.at[lane]] = low >> 32
-                self.at[lane] += 1
-            self.low[lane], self.range[lane] = (low & _WORD - 1) << 16, span << 16
-
-    def _bit(self, lane: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        span = self.range[lane]
-        part = (span >> 16) * p
-        if self.decoding:
-            bit = self.d[lane] < part
-        step = np.where(bit, 0, part)
-        self.low[lane] += step
-        if self.decoding:
-            self.d[lane] -= step
-        self.range[lane] = np.where(bit, part, span - part)
-        self._settle(lane)
-        return bit
-
-    def _symbol(self, lane: np.ndarray, which: np.ndarray | int, symbol: np.ndarray | None) -> np.ndarray:
-        """One of 256 symbols by the counts ``which`` of each lane."""
-        flat = self.sums.reshape(-1)
-        base = (lane * (1 + _LOWS) + which) * 257
-        unit = self.range[lane] // flat[base + 256]
-        if self.decoding:
-            target = np.minimum(self.d[lane] // unit, flat[base + 256] - 1)
-            symbol = np.zeros(len(lane), np.int64)
-            for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                symbol += np.where(flat[base + symbol + step] <= target, step, 0)
-        start = flat[base + symbol].astype(np.int64)
-        step = unit * start
-        self.low[lane] += step
-        if self.decoding:
-            self.d[lane] -= step
-        self.range[lane] = unit * (flat[base + symbol + 1] - start)
-        self._settle(lane)
-        self.count.reshape(-1)[(lane * (1 + _LOWS) + which) * 256 + symbol] += _INC
-        return symbol
-
-    def _count_up(self, active: int) -> None:
-        count = self.count[:active]
-        heavy = count.sum(2) > _LIMIT
-        if heavy.any():
-            count[heavy] = count[heavy] >> 1 | 1
-        np.cumsum(count, 2, out=self.sums[:active, :, 1:])
-
-    def _order0(self, lane: np.ndarray, ident: np.ndarray) -> np.ndarray:
-        """The logistic input of the order-0 counts for an id."""
-        high, low = ident >> 8, ident & 255
-        count, sums = self.count.reshape(-1), self.sums.reshape(-1)
-        one, two = lane * (1 + _LOWS), lane * (1 + _LOWS) + 1 + np.minimum(high, _LOWS - 1)
-        x = _LOG[count[one * 256 + high]] + _LOG[count[two * 256 + low]] - _LOG[sums[one * 257 + 256]] - _LOG[sums[two * 257 + 256]]
-        return np.clip(x, -2047, 0)
-
-    def _guess(self, order: int, lane: np.ndarray, ident: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], bit: np.ndarray | None) -> np.ndarray:
-        """Code whether the predicted id holds, then adapt the estimates and the mixing weights."""
-        p, weight = self.p[order], self.weight[order]
-        at = [lane * 32 + c for c in contexts]
-        have = [p[k][at[k]] for k in range(2)]
-        inputs = [_STRETCH[have[0] >> 4], _STRETCH[have[1] >> 4], self._order0(lane, ident)]
-        w = [weight[k][lane] for k in range(3)]
-        mixed = np.clip((w[0] * inputs[0] + w[1] * inputs[1] + w[2] * inputs[2]) >> 16, -2047, 2047)
-        chance = _SQUASH[mixed + 2048]
-        bit = self._bit(lane, chance, bit)
-        truth = np.where(bit, 65535, 0)
-        error = truth - chance
-        for k in range(3):
-            weight[k][lane] = w[k] + ((inputs[k] * error + (1 << 13)) >> 14)
-        for k in range(2):
-            p[k][at[k]] = have[k] + ((truth - have[k]) >> 4)
-        return bit
-
-    @staticmethod
-    def _learn(table: np.ndarray, at: np.ndarray, old: np.ndarray, ident: np.ndarray) -> None:
-        sure = np.where(old < 0, 0, old & 15)
-        new = np.where(sure >= 2, old - sure + (sure >> 1), (ident << 4) | 1)
-        table[at] = np.where((old >> 4 == ident) & (old >= 0), old + (sure < 15), new)
-
-    def run(self, ids: np.ndarray) -> None:
-        """Code ids[step, lane], or fill it."""
-        mask = (1 << _TABLE_BITS) - 1
-        steps = int(self.lengths.max(initial=0))
-        last, before = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        again = 0
-        for t in range(steps):
-            active = int(np.searchsorted(-self.lengths, -t, "left"))
-            if t == again:
-                self._count_up(active)
-                again = t + min(128, max(16, t))
-            lane = np.arange(active)
-            one, two = last[:active], before[:active]
-            at2 = self.base[:active] + (((one * 0x9E3779B1 + two * 0x85EBCA77) >> 17) & mask)
-            at1 = self.base[:active] + ((one * 0x9E3779B1 >> 17) & mask)
-            old2, old1 = self.table[0][at2].astype(np.int64), self.table[1][at1].astype(np.int64)
-            id2, id1 = old2 >> 4, old1 >> 4
-            same = (id1 == id2).astype(np.int64) * 16
-            truth = ids[t, :active].astype(np.int64)
-            value, open_ = truth.copy(), np.ones(active, bool)
-            k = np.flatnonzero(old2 >= 0)
-            if len(k):
-                bit = self._guess(0, lane[k], id2[k], ((old2[k] & 15) + same[k], (old1[k] & 15) + same[k]), truth[k] == id2[k])
-                hit = k[bit]
-                value[hit], open_[hit] = id2[hit], False
-            k = np.flatnonzero(open_ & (old1 >= 0) & (same == 0))
-            if len(k):
-                seen = (old2[k] >= 0) * 16
-                bit = self._guess(1, lane[k], id1[k], ((old1[k] & 15) + seen, (old2[k] & 15) + seen), truth[k] == id1[k])
-                hit = k[bit]
-                value[hit], open_[hit] = id1[hit], False
-            k = np.flatnonzero(open_)
-            if len(k):
-                high = self._symbol(lane[k], 0, truth[k] >> 8)
-                low = self._symbol(lane[k], 1 + np.minimum(high, _LOWS - 1), truth[k] & 255)
-                value[k] = high << 8 | low
-            self._learn(self.table[0], at2, old2, value)
-            self._learn(self.table[1], at1, old1, value)
-            if self.decoding:
-                ids[t, :active] = value
-            before[:active], last[:active] = one.copy(), value
-        if not self.decoding:
-            if self.n and self.at.max() + 8 > self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros((self.n, 8), np.uint16)], 1)
-            lane = np.arange(self.n)
-            for shift in (32, 16, 0):
-                self.out[lane, self.at] = self.low >> shift & 0xFFFF
-                self.at += 1
+    return np.array([*left, *right[:2048]], np.int64)
+
+
+_SQUASH = np.clip(_squash_table() >> 16 - _BIT, 1, (1 << _BIT) - 1).astype(np.int32)
+#: The first id of each range, and the bits of a place in it: short ranges for the frequent, small ids.
+_FIRST = np.concatenate([np.arange(0, 512, 8), np.arange(512, 2048, 64), np.arange(2048, MAX_ID, 1 << _PLACE)])
+_BITS = np.log2(np.diff(_FIRST, append=MAX_ID + 1)).astype(np.int64)
+_RANGES = len(_FIRST)
+_RANGE = np.repeat(np.arange(_RANGES), 1 << _BITS).astype(np.int16)
+_PRIOR = 1 + (4000 << _BITS) // (200 + _FIRST) // 16
+#: Of each id: bits of a place in its range (from bit 12) and its place there.
+_PLACES = (_BITS[_RANGE] << 12 | np.arange(MAX_ID + 1) - _FIRST[_RANGE]).astype(np.uint16)
+#: Lanes whose ids are looked up at once, and a mark of symbols that stand for one id.
+_GROUP, _IS_OWN = 32, 1 << 26
+_U = np.uint64
+_ONE, _LOW, _WORD, _HASH = _U(1), _U((1 << 32) - 1), _U(32), _U(0x9E3779B97F4A7C15)
+_TO_PLACE, _TO_ROW, _ROW_SIZE, _SURE = _U(62), _U(64 - _ROW_BITS), _U(_ROW), np.int32(1 << _BIT)
+
+
+class _Model:
+    """The model of all lanes. One class serves both directions, so that their models can't differ."""
+
+    def __init__(self, n: int) -> None:
+        # id and, in four bits, how sure; rows by the last id: its own prediction, then those by the id before it
+        self.table = np.zeros(n * _ROWS * _ROW, np.int32)
+        self.row_at = np.arange(n, dtype=np.uint64) * _U(_ROWS * _ROW)
+        sure = np.arange(16)
+        self.value = np.tile(np.concatenate([sure * 40 - 600, sure * 40 - 400 + 2048]).astype(np.int32) << 8, n)
+        self.value_at = (np.arange(n) * 32 + np.array([[0], [16]])).astype(np.int32)
+        self.before = np.ones(n, np.uint64)
+        self.narrow(n)
+
+    def narrow(self, n: int) -> None:
+        """Go on with the first n lanes."""
+        self.n = n
+        self.row_at, self.value_at, self.before = self.row_at[:n], self.value_at[:, :n], self.before[:n]
+        self.rows, self.after = np.empty((2, n), np.uint64), np.empty(n, np.uint64)
+        self.at, self.value_of = self.rows.view(np.int64), np.empty((2, n), np.int64)
+        self.old, self.sure, self.new, self.more, self.had = (np.empty((2, n), np.int32) for _ in range(5))
+        self.error, self.guess = np.empty(n, np.int32), np.empty(n, np.int32)
+
+    def count_up(self, rows: np.ndarray, now: int) -> None:
+        """Order-0 statistics of rows[lane, :now]: the ids with symbols of their own, and of each symbol and lane its slots
+        (share) and the end of them (upto)."""
+        n = self.n
+        past = np.sort(rows[:n, :now], 1)
+        first = np.ones(past.shape, bool)
+        np.not_equal(past[:, 1:], past[:, :-1], out=first[:, 1:])
+        begin = np.flatnonzero(first)
+        own, times, of = past.reshape(-1)[begin].astype(np.int64), np.diff(begin, append=past.size), begin // max(now, 1)
+        ranges = np.bincount(_RANGE[own] * np.int64(n) + of, minlength=n * _RANGES).reshape(_RANGES, n)
+        distinct = np.bincount(of, minlength=n)
+        if distinct.max(initial=0) > _OWN:  # those seen often enough; a block has no room for _OWN ids _OFTEN times each
+            often = np.bincount(of * _OFTEN + np.minimum(times, _OFTEN) - 1, minlength=n * _OFTEN).reshape(n, _OFTEN)
+            least = 1 + (np.cumsum(often[:, ::-1], 1) > _OWN).sum(1)
+            keep = times >= least[of]
+            own, times, of = own[keep], times[keep], of[keep]
+            distinct = np.bincount(of, minlength=n)
+        self.own, self.of = own, of
+        self.symbol = _RANGES + np.arange(len(of)) - (np.cumsum(distinct) - distinct)[of]
+        width, used = _RANGES + int(distinct.max(initial=0)), (_RANGES + distinct).astype(np.int32)
+        upto = np.zeros((width, n), np.int32)
+        upto[:_RANGES] = ranges * 16 + _PRIOR[:, None]
+        upto[self.symbol, of] = 32 * times - 16
+        for k in range(1, width):
+            upto[k] += upto[k - 1]
+        # scaled to the slots, one of which each used symbol has; the last used one takes what rounding leaves
+        upto *= ((1 << _FREQ) - used << 16) // upto[-1]
+        upto >>= 16
+        order = np.arange(1, width + 1, dtype=np.int32)[:, None]
+        upto += np.minimum(order, used)
+        np.copyto(upto, 1 << _FREQ, where=order >= used)
+        self.upto, self.share = upto, np.diff(upto, axis=0, prepend=np.int32(0))
+
+    def predict(self, last: np.ndarray) -> np.ndarray:
+        """The probability that the predicted id (``guess``, times 16) holds, as a share of 2 ** _BIT."""
+        two, one = self.rows
+        np.multiply(last, _HASH, out=one)
+        after = self.after
+        np.right_shift(one, _TO_PLACE, out=after)
+        one >>= _TO_ROW
+        one *= _ROW_SIZE
+        one += self.row_at
+        np.maximum(after, _ONE, out=after)  # a place in the next step's row
+        np.add(one, self.before, out=two)
+        self.before, self.after = after, self.before
+        old, sure, guess, of, had = self.old, self.sure, self.guess, self.value_of, self.had
+        self.table.take(self.at, mode="clip", out=old)
+        np.bitwise_and(old, 15, out=sure)
+        np.copyto(guess, old[1])
+        np.copyto(guess, old[0], where=sure[0] > 0)
+        guess &= -16
+        of[:] = self.value_at + sure
+        self.value.take(of, mode="clip", out=had)
+        mixed = had[0] + had[1]
+        mixed >>= 8
+        self.chance = _SQUASH.take(mixed, mode="clip")
+        return self.chance
+
+    def learn(self, ident: np.ndarray, held: np.ndarray) -> None:
+        """Adapt the mixed values and the contexts' predictions to an id (times 16)."""
+        error, old, new, more = self.error, self.old, self.new, self.more
+        np.multiply(held, _SURE, out=error)
+        error -= self.chance
+        error *= _RATE
+        self.had += error
+        self.value[self.value_of.reshape(-1)] = self.had.reshape(-1)
+        np.subtract(old, 2, out=new)
+        np.copyto(new, ident | 1, where=self.sure < 2)
+        np.bitwise_or(old, 15, out=more)
+        same = more == (ident | 15)
+        old += 1
+        np.minimum(more, old, out=more)
+        np.copyto(new, more, where=same)
+        self.table[self.at.reshape(-1)] = new.reshape(-1)
+
+
+def _stretches(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """Steps from, to and lanes between updates and ends of lanes; lengths descend."""
+    ends = {int(x) for x in lengths}
+    most = max(ends, default=0)
+    cuts = sorted({t for t in (*UPDATES, *ends) if t <= most})
+    return [(a, b, int(np.searchsorted(-lengths, -a, "left"))) for a, b in zip(cuts, cuts[1:])]
+
+
+def _encode(rows: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Payloads of the lanes of rows[lane, step]; lengths descend."""
+    n, steps = rows.shape
+    model, ids = _Model(n), np.ascontiguousarray(rows.T)
+    chance, held, coded = np.zeros((steps, n), np.uint16), np.zeros((steps, n), bool), np.zeros((steps, n), np.uint32)
+    row_at, last = np.arange(_GROUP, dtype=np.int32)[:, None] << 16, np.zeros(n, np.uint64)
+    for a, b, active in _stretches(lengths):
+        if active < model.n:
+            model.narrow(active)
+            last = last[:active]
+        if a in UPDATES:
+            model.count_up(rows, a)
+            facts = (model.share | model.upto - model.share << 13).astype(np.uint32)
+            facts[_RANGES:] |= _IS_OWN
+            facts, wide = facts.reshape(-1), active
+            place_of = np.tile(_RANGE.astype(np.int32) * wide, _GROUP)  # of each id of a few lanes: its place in facts
+        for k in range(0, active, _GROUP):
+            more = min(k + _GROUP, active)
+            x, y = np.searchsorted(model.of, [k, more])
+            at = (model.of[x:y] - k << 16) + model.own[x:y]
+            place_of[at] = model.symbol[x:y] * wide
+            place = place_of.take(rows[k:more, a:b] + row_at[: more - k], mode="clip")
+            place += np.arange(k, more, dtype=np.int32)[:, None]
+            coded[a:b, k:more] = facts.take(place, mode="clip").T
+            place_of[at] = _RANGE[model.own[x:y]] * np.int32(wide)
+        ident = ids[a:b, :active].astype(np.int32) << 4
+        for t in range(a, b):
+            chance[t, :active] = model.predict(last)
+            np.equal(model.guess, ident[t - a], out=held[t, :active])
+            model.learn(ident[t - a], held[t, :active])
+            last = ids[t, :active].astype(np.uint64)
+    return _write(ids, chance, held, coded, lengths)
+
+
+def _write(ids: np.ndarray, chance: np.ndarray, held: np.ndarray, coded: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Code the steps from the last to the first."""
+    n = len(lengths)
+    room = len(chance) + 2
+    state, words = np.full(n, 1 << 32, np.uint64), np.empty(n * room, np.uint32)
+    at = np.arange(n) * room
+    begin = at.copy()
+    for a, b, active in reversed([(x, min(x + 32, b), k) for a, b, k in _stretches(lengths) for x in range(a, b, 32)]):
+        hit, p = held[a:b, :active], chance[a:b, :active].astype(np.uint64)
+        fact = np.where(hit, np.uint32(1 << _FREQ | _IS_OWN), coded[a:b, :active])
+        part, start = (fact & 0x1FFF).astype(np.uint64), (fact >> 13 & 0x1FFF).astype(np.uint64)
+        put = np.where(fact < _IS_OWN, _PLACES.take(ids[a:b, :active]), np.uint16(0)).astype(np.uint64)
+        bits, put = put >> _U(12), put & _U((1 << 12) - 1)
+        part0, start0 = np.where(hit, p, _U(1 << _BIT) - p), np.where(hit, _U(0), p)
+        limit = part * part0 << _U(64 - _BIT - _FREQ) - bits
+        rest, rest0 = _U(1 << _FREQ) - part, _U(1 << _BIT) - part0
+        x, w = state[:active], at[:active]
+        for t in range(b - a - 1, -1, -1):
+            full = x >= limit[t]
+            words[w] = x  # the low half; kept only if the state is full
+            w += full
+            x >>= full * _WORD
+            x <<= bits[t]
+            x |= put[t]
+            for size, more, first in ((part[t], rest[t], start[t]), (part0[t], rest0[t], start0[t])):
+                over = x // size  # x // size * 2 ** bits + x % size + first
+                over *= more
+                x += over
+                x += first
+    heads = np.stack([state & _LOW, state >> _U(32)], 1).astype("<u4")
+    return [heads[k].tobytes() + words[begin[k] : at[k]][::-1].astype("<u4").tobytes() for k in range(n)]
+
+
+def _decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """rows[lane, step] of payloads; lengths descend. Whatever the payloads hold, ids stay within MAX_ID."""
+    n = len(payloads)
+    padded = [p.ljust(8, b"\0") + bytes(-len(p) % 4 if len(p) > 8 else 0) for p in payloads]
+    words = np.frombuffer(b"".join(padded), "<u4").astype(np.uint64)
+    at = np.cumsum([0, *(len(p) // 4 for p in padded)])[:-1]
+    state = words[at] | words[at + 1] << _U(32)
+    at += 2
+    steps = int(lengths.max(initial=0))
+    ids, rows = np.zeros((steps, n), np.uint16), np.zeros((n, steps), np.uint16)
+    model, last = _Model(n), np.zeros(n, np.uint64)
+    slots = 1 << _FREQ
+    bit_mask, bit_size, slot_mask, slot_size = _U((1 << _BIT) - 1), _U(_BIT), _U(slots - 1), _U(_FREQ)
+    field, thirteen, fifteen, four = _U(0x1FFF), _U(13), _U(15), _U(4)
+    for a, b, active in _stretches(lengths):
+        if active < model.n:
+            model.narrow(active)
+            last, state, at = last[:active], state[:active], at[:active]
+        if a in UPDATES:
+            model.count_up(rows, a)
+            wide, width = active, len(model.upto)
+            symbol_of = np.zeros((slots + 1, wide), np.int16)  # of each slot: the symbols that begin up to it, but one
+            symbol_of.reshape(-1)[model.upto[:-1] * np.int64(wide) + np.arange(wide)] = 1
+            for k in range(1, slots):
+                symbol_of[k] += symbol_of[k - 1]
+            symbol_of = symbol_of.reshape(-1)
+            facts = np.zeros((width, wide), np.uint64)  # first id, bits of a place, start and slots of each symbol
+            facts[:_RANGES] = (_FIRST << 30 | _BITS << 26).astype(np.uint64)[:, None]
+            facts[model.symbol, model.of] = model.own << 30
+            facts |= (model.upto - model.share << 13 | model.share).astype(np.uint64)
+            facts = facts.reshape(-1)
+        lane = np.arange(active, dtype=np.uint64)
+        lane_at = lane.view(np.int64)
+        wide_u = _U(wide)
+        for t in range(a, b):
+            p = model.predict(last).astype(np.uint64)
+            slot = state & bit_mask
+            hit = slot < p
+            held = state >> bit_size
+            held *= p
+            state -= held  # what is left if the bit is zero: (2 ** _BIT - p) * (state >> _BIT) + slot - p
+            state -= p
+            held += slot
+            np.bitwise_and(state, slot_mask, out=slot)
+            place = slot * wide_u
+            place += lane
+            symbol = symbol_of.take(place.view(np.int64), mode="clip").astype(np.int64)
+            symbol *= wide
+            symbol += lane_at
+            fact = facts.take(symbol, mode="clip")
+            state >>= slot_size
+            np.bitwise_and(fact, field, out=place)
+            state *= place
+            state += slot
+            fact >>= thirteen
+            np.bitwise_and(fact, field, out=place)
+            state -= place
+            fact >>= thirteen
+            np.bitwise_and(fact, fifteen, out=place)  # bits of the place in a range
+            fact >>= four
+            np.left_shift(_ONE, place, out=slot)
+            slot -= _ONE
+            slot &= state
+            fact += slot
+            state >>= place
+            np.copyto(state, held, where=hit)
+            ident = fact.astype(np.int32)
+            ident <<= 4
+            np.copyto(ident, model.guess, where=hit)
+            short = state <= _LOW
+            np.left_shift(state, _WORD, out=held)
+            held |= words.take(at, mode="clip")
+            np.copyto(state, held, where=short)
+            at += short
+            model.learn(ident, hit)
+            last = (ident >> 4).astype(np.uint64)
+            ids[t, :active] = last
+        rows[:active, a:b] = ids[a:b, :active].T
+    return rows
 
 
 def encode_blocks(ids: np.ndarray) -> list[tuple[int, bytes, int]]:
     """(ids, payload, crc32) of each block of an array of ids."""
     if len(ids) and int(ids.max()) > MAX_ID:
         raise ValueError(f"ids go up to {MAX_ID}")
-    ids = ids.astype("<u4")
+    ids = ids.astype("<u4", copy=False)
     out = []
     for a in range(0, len(ids), SEGMENT_IDS):
         part = ids[a : a + SEGMENT_IDS]
         n = -(-len(part) // BLOCK)
         lengths = np.full(n, BLOCK)
         lengths[-1] = len(part) - BLOCK * (n - 1)
-        matrix = np.zeros((n, BLOCK), np.uint32)
+        matrix = np.zeros((n, BLOCK), np.uint16)
         matrix.reshape(-1)[: len(part)] = part
-        coder = _Coder(lengths, None)
-        coder.run(np.ascontiguousarray(matrix.T))
+        payloads = _encode(matrix[:, : lengths[0]], lengths)
         for k in range(n):
-            raw = part[k * BLOCK : (k + 1) * BLOCK].tobytes()
-            out.append((int(lengths[k]), coder.out[k, : coder.at[k]].astype("<u2").tobytes(), zlib.crc32(raw)))
+            out.append((int(lengths[k]), payloads[k], zlib.crc32(part[k * BLOCK : (k + 1) * BLOCK])))
     return out
 
 
@@ -261,17 +364,15 @@ def decode_blocks(blocks: list[tuple[int, bytes, int]]) -> np.ndarray:
         group = blocks[a : a + LANES]
         lengths = np.array([b[0] for b in group])
         order = np.argsort(-lengths, kind="stable")
-        if len(lengths) and lengths.max() > BLOCK:
+        if lengths.max() > BLOCK:
             raise ValueError("a block is too long")
-        coder = _Coder(lengths[order], [np.frombuffer(group[k][1], "<u2") for k in order])
-        ids = np.zeros((int(lengths.max(initial=0)), len(group)), np.uint32)
-        coder.run(ids)
-        place = np.argsort(order)
+        rows = _decode([group[k][1] for k in order], lengths[order])
+        own = np.empty(rows.shape, "<u4")
+        own[order] = rows
         for k, (n, _, crc) in enumerate(group):
-            own = np.ascontiguousarray(ids[:n, place[k]]).astype("<u4")
-            if zlib.crc32(own.tobytes()) != crc:
+            if zlib.crc32(own[k, :n]) != crc:
                 raise ValueError(f"the checksum of block {a + k} is wrong")
-            parts.append(own)
+            parts.append(own[k, :n])
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
@@ -359,7 +460,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 names, ids = read_segment(batch.column(2)[k].as_py())
                 n = np.array([len(x) for x in ids], np.int64)
                 arrays = [pa.array([batch.column(j)[k].as_py()] * len(n), pa.int32()) for j in range(2)]
-                arrays += [pa.array(names, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
+                arrays += [pa.array(names, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["shard", "segment", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     spark = files.sparkSession

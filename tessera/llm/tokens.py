@@ -16,7 +16,7 @@ class WordCachedEncoder:
 
     BPE works inside pre-split words, so the library encodes each distinct word once and a text is the concatenation of
     its words' ids. Plain texts are split, hashed and put together as numpy arrays; a word is known by a 64-bit hash of
-    its characters and length. Texts with characters beyond Latin-1 (where pattern engines may differ), with a special
+    its characters and length, in an open-addressing table that is asked for all words of a batch at once. Texts with characters beyond Latin-1 (where pattern engines may differ), with a special
     token's string or with something like an English contraction go to the library whole. At most ``limit`` words are
     kept; a full table is emptied.
     """
@@ -34,10 +34,14 @@ class WordCachedEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.line_end = vocabulary["\u010a"]  # how byte-level tokens write a line end; a blank is U+0120
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank_first[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.place, self.n_known = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
 
@@ -90,16 +94,17 @@ class WordCachedEncoder:
         code, words = pd.factorize(span_hashes(data, start, end))
         place = np.empty(len(words), np.int64)
         place[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        if len(self.known) > self.limit:
+        if self.n_known > self.limit:
             self._forget()
-        keys = words.tolist()
-        index = list(map(self.known.get, keys))
-        new = [k for k, x in enumerate(index) if x is None]
-        if new:
-            a, b = start[place[new]].tolist(), end[place[new]].tolist()
-            self._learn([keys[k] for k in new], [joined[x:y].decode("latin-1") for x, y in zip(a, b)])
-            index = list(map(self.known.get, keys))
-        at = np.array(index)[code]
+        words |= words == 0  # zero marks free places of the table
+        index = self._find(words)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            a, b = start[place[new]], end[place[new]]
+            order = self._learn(joined, a, b, self.KIND[data[a]], self.KIND[data[b - 1]])
+            index[new[order]] = np.arange(self.n_known, self.n_known + len(new))
+            self._keep(words[new[order]])
+        at = index[code]
         n, begin = self.length[at], self.start[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)].astype("<u4").tobytes()
@@ -108,39 +113,82 @@ class WordCachedEncoder:
             out[i] = ids[a:b]
         return out
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        """Encode new words. Those of letters go in long runs, which the library splits at their blanks, or at line
-        ends that are put between them."""
-        kinds: dict[int, list[int]] = {0: [], 1: [], 2: []}
-        for k, w in enumerate(words):
-            kinds[0 if w[0] == " " and w[1:].isalpha() else 1 if w.isalpha() else 2].append(k)
-        for kind, between in ((0, ""), (1, "\n")):
-            for a in range(0, len(kinds[kind]), 1000):
-                part = kinds[kind][a : a + 1000]
-                e = self.tokenizer.encode(between.join([words[k] for k in part]), add_special_tokens=False)
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(e.word_ids)) + 1, [len(e.ids)]])
-                ids, lengths = np.array(e.ids, np.uint32), np.diff(cut)
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the ids of words are; -1 for unknown words."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (keys & mask).view(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.place[slot], -1).astype(np.int64)
+        left = np.flatnonzero((held != keys) & (held != 0))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & int(mask)
+            held, own = self.keys[slot], keys[left]
+            out[left] = np.where(held == own, self.place[slot], -1)
+            on = (held != own) & (held != 0)
+            left, slot = left[on], slot[on]
+        return out
+
+    def _put(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Give unknown, distinct words a place in the table; of those that meet at a free one, one stays."""
+        mask = len(self.keys) - 1
+        slot = (keys & np.uint64(mask)).view(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            self.keys[slot[free]] = keys[free]
+            stays = self.keys[slot] == keys
+            self.place[slot[stays]] = places[stays]
+            keys, places, slot = keys[~stays], places[~stays], slot[~stays] + 1 & mask
+
+    def _keep(self, keys: np.ndarray) -> None:
+        """Know the words that were learned last, in their order; at most half of the table is used."""
+        n = self.n_known + len(keys)
+        if 2 * n > len(self.keys):
+            used = self.keys != 0
+            old, places = self.keys[used], self.place[used]
+            size = 1 << (4 * n - 1).bit_length()
+            self.keys, self.place = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._put(old, places)
+        self._put(keys, np.arange(self.n_known, n, dtype=np.int32))
+        self.n_known = n
+
+    def _learn(self, text: bytes, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Encode new words, given as spans of Latin-1 text with the kinds of their first and last characters; gives the
+        order in which their ids are kept. Words of letters go in long runs: those with a blank before them one after
+        another, as the token with the blank begins each, the others with line ends between them."""
+        kinds = [np.flatnonzero((first == 0) & (last == 2)), np.flatnonzero(first == 2), np.flatnonzero((first != 2) & ((first != 0) | (last != 2)))]
+        words = [[text[x:y] for x, y in zip(start[k].tolist(), end[k].tolist())] for k in kinds]
+        encode, ids, lengths = self.tokenizer.encode_batch_fast, [], []
+        for kind, between in ((0, b""), (1, b"\n")):
+            parts = [words[kind][a : a + 1000] for a in range(0, len(words[kind]), 1000)]
+            for part, e in zip(parts, encode([between.join(x).decode("latin-1") for x in parts], add_special_tokens=False)):
+                own = np.array(e.ids, np.uint32)
                 if kind:
-                    keep = np.repeat(np.arange(len(lengths)) % 2 == 0, lengths)
-                    ids, lengths = ids[keep], lengths[::2]
-                if len(lengths) != len(part):
+                    cut = np.flatnonzero(own == self.line_end)
+                    sizes = np.diff(cut, prepend=-1, append=len(own)) - 1
+                    own = np.delete(own, cut)
+                else:
+                    sizes = np.diff(np.flatnonzero(self.blank_first[own]), append=len(own))
+                if len(sizes) != len(part) or sizes.min() < 1:
                     raise ValueError("the library splits words otherwise than the pattern says")
-                self._add([keys[k] for k in part], ids, lengths)
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in kinds[2]], add_special_tokens=False)]
-        if rest:
-            self._add([keys[k] for k in kinds[2]], np.array([i for x in rest for i in x], np.uint32), np.array([len(x) for x in rest]))
-
-    def _add(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.known)
+                ids.append(own)
+                lengths.append(sizes)
+        rest = [e.ids for e in encode([x.decode("latin-1") for x in words[2]], add_special_tokens=False)]
+        ids.append(np.array([i for x in rest for i in x], np.uint32))
+        lengths.append(np.array([len(x) for x in rest], np.int64))
+        self._add(np.concatenate(ids), np.concatenate(lengths))
+        return np.concatenate(kinds)
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = self.n_known
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(keys) > len(self.start):
+        while n + len(lengths) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.start[n : n + len(keys)] = self.n_ids + np.cumsum(lengths) - lengths
-        self.length[n : n + len(keys)] = lengths
+        self.start[n : n + len(lengths)] = self.n_ids + np.cumsum(lengths) - lengths
+        self.length[n : n + len(lengths)] = lengths
         self.n_ids += len(ids)
-        self.known.update(zip(keys, range(n, n + len(keys))))
 
 
 _encoders: dict[str, WordCachedEncoder] = {}

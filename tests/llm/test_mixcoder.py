@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -24,6 +25,47 @@ def test_context_mixing_learns_repeats():
     assert 8 * len(mixcoder.encode_blocks(ids)[0][1]) < 5 * len(ids)
 
 
+def test_order0_learns_single_ids():
+    r = np.random.default_rng(5)
+    ids = r.choice(r.choice(50000, 200, replace=False), 40960).astype("<u4")  # 7.6 bits an id, in no order
+    blocks = mixcoder.encode_blocks(ids)
+    assert 8 * sum(len(b[1]) for b in blocks) < 10 * len(ids)
+    assert (mixcoder.decode_blocks(blocks) == ids).all()
+
+
+def test_cost_of_an_id():
+    r = np.random.default_rng(6)
+    ids = ((r.zipf(1.3, 512 * 4096) - 1) % 50257).astype("<u4")
+    table, at = np.arange(1 << 20), r.integers(0, 1 << 20, len(ids))
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    def gathers():
+        for _ in range(20):
+            table[at]
+
+    coding = min(seconds(lambda: mixcoder.decode_blocks(mixcoder.encode_blocks(ids))) for _ in range(2))
+    assert coding < 30 * min(seconds(gathers) for _ in range(3))
+
+
+@pytest.mark.parametrize("lengths", [[4096, 4096, 700, 16, 1], [3000, 17, 15], [64]])
+def test_blocks_of_any_lengths_decode_together(lengths):
+    r = np.random.default_rng(7)
+    parts = [r.integers(0, 65536, n).astype("<u4") for n in lengths]
+    blocks = [mixcoder.encode_blocks(p)[0] for p in parts]
+    order = r.permutation(len(lengths))
+    assert (mixcoder.decode_blocks([blocks[k] for k in order]) == np.concatenate([parts[k] for k in order])).all()
+
+
+@pytest.mark.parametrize("size", [0, 3, 8, 11, 5000])
+def test_any_bytes_are_decoded_or_refused(size):
+    with pytest.raises(ValueError):
+        mixcoder.decode_blocks([(4096, np.random.default_rng(size).bytes(size), 1)])
+
+
 def test_blocks_are_independent():
     ids = np.random.default_rng(1).integers(0, 500, 9000).astype("<u4")
     whole = mixcoder.encode_blocks(ids)

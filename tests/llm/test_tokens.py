@@ -27,6 +27,27 @@ def test_word_cache_equals_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_table_keeps_meeting_keys():
+    table = tokens.WordCachedEncoder(tokens.byte_bpe())
+    meeting = np.arange(1, 301, dtype=np.uint64) << np.uint64(40)
+    others = np.unique(np.random.default_rng(2).integers(1 << 20, 1 << 63, 100_000, dtype=np.uint64))
+    keys = np.setdiff1d(np.concatenate([meeting, others]), np.arange(1 << 10, dtype=np.uint64))
+    for part in np.array_split(keys, 7):
+        assert (table._find(part) == -1).all()
+        table._keep(part)
+    assert (table._find(keys) == np.arange(len(keys))).all()
+    assert (table._find(np.arange(1, 500, dtype=np.uint64)) == -1).all()
+
+
+def test_new_words_of_each_kind():
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdeéßªxyz", k=r.randint(1, 12))) for _ in range(5000)]
+    texts = ["\n".join(words[:2500]), " ".join(words[2500:]), " " + "  ".join(words), "".join(w + r.choice("\n\t .,7 42") for w in words)]
+    for text, ids in zip(texts, tokens.WordCachedEncoder(tokens.byte_bpe()).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_automaton_equals_library(spark):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     texts = ODD + ["".join(random.Random(i).choices(" \n\tabC1é'.,s!", k=60)) for i in range(1000)]
