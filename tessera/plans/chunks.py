@@ -84,7 +84,12 @@ def factoring(lo: int, hi: int, n: int) -> list[tuple[int, int, int]]:
 
 
 def trapezoid(lo: int, hi: int, n: int, first: float = 0.0625, last: float = 0.01) -> list[tuple[int, int, int]]:
-    """Sizes fall by a constant from first * D toward last * D."""
+    """Sizes fall by a constant from first * D toward last * D, and on below it if the range isn't at its end.
+
+    The constant comes from truncated divisions, so the sizes can sum to less than the range (0.9986 of a long one, as a
+    rule, with the factors given here). Then the smallest size above zero is repeated, unless last * D is below 1: such
+    sizes are meant to reach zero.
+    """
     d = hi - lo
     f, l = int(first * d), int(last * d)
     step = _div(f - l, _div(2 * d, f + l) - 1)
@@ -93,7 +98,8 @@ def trapezoid(lo: int, hi: int, n: int, first: float = 0.0625, last: float = 0.0
         size = f
         while True:
             yield size, size
-            size -= step
+            if size > step or l <= 0:
+                size -= step
 
     return _laid(lo, hi, sizes())
 

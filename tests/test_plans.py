@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalogue
 from tessera.plans import chunks, tiles
 
 
@@ -136,6 +137,31 @@ def test_replicas_and_monotone(spark):
     assert not chunks.non_increasing(up, "s").first().non_increasing
 
 
+@pytest.mark.parametrize("d", [496, 599_999, 899_999, 8_999_999, 10**12])
+def test_trapezoid_covers_where_its_sizes_reach_zero(d):
+    rows = chunks.schedule("trapezoid", 0, d, 8)
+    f, l = int(0.0625 * d), int(0.01 * d)
+    step = (f - l) // (2 * d // (f + l) - 1)
+    fall = list(range(f, 0, -step))
+    assert sum(fall) < d + 1  # so the statement's sizes turn negative and never end
+    assert [r[1] for r in rows] == fall + fall[-1:] * (len(rows) - len(fall))
+    assert rows[0][2] == 0 and rows[-1][3] == d and all(a[3] + 1 == b[2] for a, b in zip(rows, rows[1:]))
+    assert all(0 < r[4] <= r[1] for r in rows) and all(r[4] == r[1] for r in rows[:-1])
+
+
+def long_lineitem(spark, folder):
+    """Order keys over six times the range of sf0.1, with few rows."""
+    rows = spark.range(900_000).where("id % 1000 in (0, 999)").select(F.col("id").alias("l_orderkey"), (F.col("id") % 50).cast("double").alias("l_quantity"))
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_monotone_check_over_a_long_range(spark, tmp_path):
+    got = catalogue.QUERIES["chunk_monotone_check"](spark, long_lineitem(spark, tmp_path)).collect()
+    want = {s: (True, len(chunks.schedule(s, 0, 899_999, 8))) for s in ("equal", "guided", "factoring", "trapezoid", "quadratic")}
+    assert {r.strategy: (r.non_increasing, r.n_chunks) for r in got} == want and want["trapezoid"][1] == 32
+
+
 GRIDS = [(1000, 800, 4, 4, 0), (1001, 799, 4, 4, 0), (100, 100, 3, 3, 2), (100, 100, 2, 2, 3), (64, 64, 4, 4, 0), (80, 60, 4, 3, 0), (2, 2, 4, 4, 0)]
 
 
