@@ -162,6 +162,14 @@ def test_monotone_check_over_a_long_range(spark, tmp_path):
     assert {r.strategy: (r.non_increasing, r.n_chunks) for r in got} == want and want["trapezoid"][1] == 32
 
 
+def test_trapezoid_query_over_a_long_range(spark, tmp_path):
+    got = [tuple(r) for r in catalogue.QUERIES["chunk_tss"](spark, long_lineitem(spark, tmp_path)).orderBy("chunk_no").collect()]
+    keys = [k for k in range(900_000) if k % 1000 in (0, 999)]
+    assert [r[:4] for r in got[-3:]] == [(30, 3556, 893519, 897074), (31, 1739, 897075, 898813), (32, 1739, 898814, 899999)]
+    assert [r[5] for r in got] == [sum(r[2] <= k <= r[3] for k in keys) for r in got] and sum(r[5] for r in got) == len(keys)
+    assert [r[6] for r in got] == [float(sum(k % 50 for k in keys if r[2] <= k <= r[3])) for r in got]
+
+
 def test_reverse_trapezoid_over_a_long_range(spark, tmp_path):
     got = [tuple(r) for r in catalogue.QUERIES["chunk_reverse_tss"](spark, long_lineitem(spark, tmp_path)).orderBy("chunk_no").collect()]
     keys = [k for k in range(900_000) if k % 1000 in (0, 999)]
